@@ -1,0 +1,6 @@
+"""Queries of the library's own operators, and DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
