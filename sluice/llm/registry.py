@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from sluice.llm.packing import op1_best_fit_packing
+from sluice.llm.pii import op10_pii
 from sluice.llm.simhash import op8_simhash_dedup
+from sluice.llm.suffix_dedup import op6_suffix_dedup
 from sluice.llm.token_counts import op3_token_counts
+from sluice.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_url_filter": op9_url_filter,
+    "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
