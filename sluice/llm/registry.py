@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from sluice.llm.decontaminate import op7_decontamination
 from sluice.llm.packing import op1_best_fit_packing
 from sluice.llm.pii import op10_pii
 from sluice.llm.simhash import op8_simhash_dedup
 from sluice.llm.suffix_dedup import op6_suffix_dedup
 from sluice.llm.token_counts import op3_token_counts
+from sluice.llm.toxicity import op4_toxicity
 from sluice.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
