@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from sluice.llm.ann import op5_ann
 from sluice.llm.decontaminate import op7_decontamination
+from sluice.llm.hmm import op2_hmm_scoring
 from sluice.llm.packing import op1_best_fit_packing
 from sluice.llm.pii import op10_pii
 from sluice.llm.simhash import op8_simhash_dedup
@@ -13,8 +15,10 @@ from sluice.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_hmm_scoring": op2_hmm_scoring,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_ann": op5_ann,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_dedup": op8_simhash_dedup,

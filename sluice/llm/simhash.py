@@ -72,15 +72,15 @@ def shingle_hashes(texts: pa.Array, width: int = 3) -> tuple[np.ndarray, np.ndar
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row."""
+    """doc_id, h (a hash of the text) and fp (the 64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             got = bit_majority(*shingle_hashes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(got.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def popcounts(fp, half: int):
@@ -203,14 +203,29 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, fp and component_id (smallest id reachable over links) of every row."""
+def _grouped(docs: DataFrame, radius: int, id_col: str) -> DataFrame:
     marked = keep(fingerprints(docs, id_col), "fingerprints")
     distinct = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(links(distinct.select("fp"), radius))
     member = distinct.join(roots, distinct.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, fp and component_id (smallest id reachable over links) of every row."""
+    return _grouped(docs, radius, id_col).select("doc_id", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group: its smallest (id, text hash). All columns stay."""
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    got = _grouped(docs, radius, id_col).select("doc_id", "h", "root")
+    least = got.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("i"), "h")).alias("x"))
+    chosen = keep(least.select(F.when(F.col("x.i") < 1 << 62, F.col("x.i")).alias("_i"), F.col("x.h").alias("_g")), "chosen")
+    kept = keyed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left_semi")
+    repeated = got.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return (kept.dropDuplicates([id_col, "_h"]) if repeated else kept).drop("_h")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
