@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.operators.identity import with_row_index
+
 SUFFIXES = ("parquet", "jsonl", "json", "csv")
 ID_FIELDS = ("source_record_id", "key", "id")
 
@@ -30,7 +32,7 @@ def scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if kind == "csv":
         return reader.option("header", True).option("mode", "FAILFAST").csv(path)
     if kind == "json":
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         if whole.where(F.ltrim("value").startswith("{")).limit(1).count():
             return scan_records(spark, path)
         return reader.option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -39,17 +41,22 @@ def scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
     """An object of records: one row per key, in the file's order of keys."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)  # one JSON document is one record
     pairs = whole.select(F.posexplode(F.from_json("value", "map<string,string>")).alias("_pos", "_record_key", "_raw"))
     schema = spark.read.json(pairs.select("_raw").rdd.map(lambda r: r[0])).schema
     return pairs.select("_pos", "_record_key", F.from_json("_raw", schema).alias("r")).select("_pos", "_record_key", "r.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_number (1-based, physical) and raw of a text file, read in splits: lines are
+    ordered by their block's place in the file, then by their place in the block."""
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return with_row_index(lines, ["_block", "_at"], "_line").select((F.col("_line") + 1).alias("line_number"), "raw")
+
+
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL as text with 1-based physical line numbers; blank lines are left out but counted."""
-    lines = spark.read.option("wholetext", True).text(path)
-    numbered = lines.select(F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
-    return numbered.select((F.col("pos") + 1).alias("line_number"), "raw").where(F.trim("raw") != "")
+    """JSONL as text with physical line numbers; blank lines are left out but counted."""
+    return numbered_lines(spark, path).where(F.trim("raw") != "")
 
 
 def row_id(fallback: Column, columns: list[str]) -> Column:
@@ -84,7 +91,6 @@ def row_count(spark: SparkSession, path: str) -> int | None:
 def caption_pairs(spark: SparkSession, captions: str, paths: str) -> DataFrame:
     """Two text files joined line by line."""
 
-    def lines(path: str, name: str) -> DataFrame:
-        return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("line", name))
-
-    return lines(captions, "caption").join(lines(paths, "path"), "line").orderBy("line").drop("line")
+    one = numbered_lines(spark, captions).select("line_number", F.col("raw").alias("caption"))
+    two = numbered_lines(spark, paths).select("line_number", F.col("raw").alias("path"))
+    return one.join(two, "line_number").orderBy("line_number").drop("line_number")
