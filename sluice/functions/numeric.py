@@ -78,3 +78,60 @@ def linear_shift(tokens: Column, lo: tuple[float, float], hi: tuple[float, float
     """A shift that runs linearly between two (tokens, shift) points."""
     slope = (hi[1] - lo[1]) / (hi[0] - lo[0])
     return lo[1] + slope * (tokens - lo[0])
+
+
+def log_encode(x: Column, a: float = 5.555556, b: float = 0.052272, c: float = 0.247190, d: float = 0.385537, cut: float = 0.010591, e: float = 5.367655, f: float = 0.092809) -> Column:
+    """A camera log curve: logarithmic above a cut, linear below."""
+    return F.when(x > cut, c * F.log10(a * x + b) + d).otherwise(e * x + f)
+
+
+def log_decode(y: Column, a: float = 5.555556, b: float = 0.052272, c: float = 0.247190, d: float = 0.385537, cut: float = 0.010591, e: float = 5.367655, f: float = 0.092809) -> Column:
+    return F.when(y > e * cut + f, (F.pow(F.lit(10.0), (y - d) / c) - b) / a).otherwise((y - f) / e)
+
+
+def yuv(r: Column, g: Column, b: Column, kr: float = 0.2126, kb: float = 0.0722, full: bool = False) -> tuple[Column, Column, Column]:
+    """8-bit luma and chroma of RGB in 0..1; limited range unless ``full``."""
+    y = kr * r + (1 - kr - kb) * g + kb * b
+    u, v = (b - y) / (2 * (1 - kb)), (r - y) / (2 * (1 - kr))
+    if full:
+        return y * 255, u * 255 + 128, v * 255 + 128
+    return y * 219 + 16, u * 224 + 128, v * 224 + 128
+
+
+#: Gain of centre and surround channels in a stereo mix.
+MINUS_3_DB = 0.7071067811865476
+
+
+def downmix(channels: Column) -> tuple[Column, Column]:
+    """Stereo from 5.1 (L R C LFE Ls Rs) or 7.1 (.. Lb Rb Ls Rs); mono doubles, stereo stays,
+    other layouts become their mean on both sides."""
+    c = lambda i: F.get(channels, i)
+    n = F.size(channels)
+    mean = F.aggregate(channels, F.lit(0.0), lambda acc, x: acc + x) / n
+
+    def side(front: int, surrounds5: int, back7: int, side7: int) -> Column:
+        five = c(front) + MINUS_3_DB * (c(2) + c(surrounds5))
+        seven = c(front) + MINUS_3_DB * (c(2) + c(back7) + c(side7))
+        return F.when(n == 1, c(0)).when(n == 2, c(front)).when(n == 6, five).when(n == 8, seven).otherwise(mean)
+
+    return side(0, 4, 4, 6), side(1, 5, 5, 7)
+
+
+def phi(j: int, z: Column) -> Column:
+    """phi_j of exponential integrators: phi_0 = e^z, phi_j = (phi_{j-1} - 1/(j-1)!) / z; its series at 0."""
+    import math
+
+    if j == 0:
+        return F.exp(z)
+    series = sum((F.pow(z, F.lit(k)) / math.factorial(k + j) for k in range(1, 10)), F.lit(1.0 / math.factorial(j)))
+    return F.when(F.abs(z) < 1e-2, series).otherwise((phi(j - 1, z) - 1.0 / math.factorial(j - 1)) / z)
+
+
+def ancestral(sigma: Column, sigma_next: Column, eta: float) -> tuple[Column, Column]:
+    """(step down to, noise to add) of an ancestral step."""
+    up = F.least(sigma_next, eta * F.sqrt(sigma_next * sigma_next * (sigma * sigma - sigma_next * sigma_next) / (sigma * sigma)))
+    return F.sqrt(sigma_next * sigma_next - up * up), up
+
+
+def log_aspect_distance(w: Column, h: Column, bw: Column, bh: Column) -> Column:
+    return F.abs(F.log(w / h) - F.log(bw / bh))
