@@ -80,13 +80,19 @@ def linear_shift(tokens: Column, lo: tuple[float, float], hi: tuple[float, float
     return lo[1] + slope * (tokens - lo[0])
 
 
-def log_encode(x: Column, a: float = 5.555556, b: float = 0.052272, c: float = 0.247190, d: float = 0.385537, cut: float = 0.010591, e: float = 5.367655, f: float = 0.092809) -> Column:
-    """A camera log curve: logarithmic above a cut, linear below."""
-    return F.when(x > cut, c * F.log10(a * x + b) + d).otherwise(e * x + f)
+#: The constants of a camera log curve (slope, offset, gain, shift of the
+#: logarithmic part; slope and offset of the linear part; where they meet).
+LOG_A, LOG_B, LOG_C, LOG_D, LOG_E, LOG_F, LOG_CUT = 5.555556, 0.052272, 0.247190, 0.385537, 5.367655, 0.092809, 0.010591
 
 
-def log_decode(y: Column, a: float = 5.555556, b: float = 0.052272, c: float = 0.247190, d: float = 0.385537, cut: float = 0.010591, e: float = 5.367655, f: float = 0.092809) -> Column:
-    return F.when(y > e * cut + f, (F.pow(F.lit(10.0), (y - d) / c) - b) / a).otherwise((y - f) / e)
+def log_encode(x: Column) -> Column:
+    """Scene light to log: logarithmic above the cut, linear below."""
+    return F.when(x > LOG_CUT, LOG_C * F.log10(LOG_A * x + LOG_B) + LOG_D).otherwise(LOG_E * x + LOG_F)
+
+
+def log_decode(y: Column) -> Column:
+    bright = (F.pow(F.lit(10.0), (y - LOG_D) / LOG_C) - LOG_B) / LOG_A
+    return F.when(y > LOG_E * LOG_CUT + LOG_F, bright).otherwise((y - LOG_F) / LOG_E)
 
 
 def yuv(r: Column, g: Column, b: Column, kr: float = 0.2126, kb: float = 0.0722, full: bool = False) -> tuple[Column, Column, Column]:
