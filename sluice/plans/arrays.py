@@ -60,7 +60,7 @@ def channel_statistics(t: Tables) -> DataFrame:
     return rows.groupBy("label").agg(F.round(F.avg("x"), 6).alias("mean_x"), F.round(F.stddev_samp("x"), 6).alias("std_x"))
 
 
-@query("SELECT p_partkey, array_to_string(list_concat(list_transform(range(p_size // 8), lambda i: 8), CASE WHEN p_size % 8 > 0 THEN [p_size % 8] ELSE [] END), ',') AS sizes FROM part".replace("p_size // 8", "(p_size // 8)::BIGINT"))
+@query("SELECT p_partkey, array_to_string(list_concat(list_transform(range((p_size // 8)::BIGINT), lambda i: 8), CASE WHEN p_size % 8 > 0 THEN [p_size % 8] ELSE [] END), ',') AS sizes FROM part")
 def batch_split_sizes(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(A.split_sizes(F.col("p_size"), 8).cast("array<string>"), ",").alias("sizes"))
 

@@ -50,7 +50,7 @@ def array_ordered_distinct(t: Tables) -> DataFrame:
     return listed.select("user_id", F.array_join(F.array_distinct("x.event_type"), ",").alias("kinds"))
 
 
-@query("SELECT page_id, sha256('pages' || chr(0) || url) AS external_key FROM pages".replace("chr(0)", "chr(0)"))
+@query("SELECT page_id, sha256('pages' || chr(0) || url) AS external_key FROM pages")
 def external_record_key(t: Tables) -> DataFrame:
     return t.pages.select("page_id", external_key(F.lit("pages"), F.col("url")).alias("external_key"))
 

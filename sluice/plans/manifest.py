@@ -40,7 +40,7 @@ def flagship_manifest_summary(t: Tables) -> DataFrame:
     """Scan, reject with reasons, key by content, first wins, count by status: one row per key
     meets in the aggregate, whose first id makes the accepted one."""
     rows = checked(t.documents.select("doc_id", "lang", "text")).withColumn("sample_key", F.sha2(F.concat_ws("|", "lang", "text"), 256))
-    good = rows.where("reason is null").groupBy("sample_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min_by("doc_id", F.when(F.lit(True), F.col("doc_id"))).alias("first_doc"))
+    good = rows.where("reason is null").groupBy("sample_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
     accepted = good.agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("first_doc")).select(F.lit("accepted").alias("status"), "n", "first_doc")
     second = rows.where("reason is null").join(good.where("n > 1").select("sample_key", "least"), "sample_key").where("doc_id > least")
     duplicate = second.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 0").select(F.lit("duplicate").alias("status"), "n", "first_doc")

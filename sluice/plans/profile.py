@@ -84,8 +84,8 @@ def shared_token_blend(t: Tables) -> DataFrame:
     return t.lineitem.join(keepers, "l_partkey").groupBy("l_suppkey").agg(F.round(F.sum(F.col("l_extendedprice") * F.col("w")), 4).alias("accumulated"))
 
 
-@query("""SELECT o_orderstatus, map_from_entries(list((s, n) ORDER BY s))::VARCHAR AS nested FROM (
-  SELECT o_orderstatus, o_orderpriority AS s, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""".replace("map_from_entries(list((s, n) ORDER BY s))::VARCHAR", "string_agg(s || '=' || n, ',' ORDER BY s)"))
+@query("""SELECT o_orderstatus, string_agg(s || '=' || n, ',' ORDER BY s) AS nested FROM (
+  SELECT o_orderstatus, o_orderpriority AS s, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
 def nested_counts(t: Tables) -> DataFrame:
     """A two-level count: status -> priority -> n, keys in order."""
     counts = t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))

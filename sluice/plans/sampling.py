@@ -102,7 +102,7 @@ def offset_limit(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'en'").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(5).limit(20)
 
 
-@query("SELECT step, slot // 4 AS microstep, slot % 4 AS rank FROM (SELECT unnest(range(100)) AS step), (SELECT unnest(range(8)) AS slot)".replace("slot // 4", "(slot // 4)"))
+@query("SELECT step, (slot // 4) AS microstep, slot % 4 AS rank FROM (SELECT unnest(range(100)) AS step), (SELECT unnest(range(8)) AS slot)")
 def rank_slots(t: Tables) -> DataFrame:
     rows = t.spark.range(800).select(F.floor(F.col("id") / 8).alias("step"), (F.col("id") % 8).alias("slot"))
     return rows.select("step", F.floor(F.col("slot") / 4).alias("microstep"), (F.col("slot") % 4).alias("rank"))

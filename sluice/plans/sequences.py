@@ -55,7 +55,7 @@ def masked_mse(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.round(F.sum(F.when(on, d * d).otherwise(0.0)) / F.greatest(F.count_if(on), F.lit(1)), 6).alias("mse"))
 
 
-@query("SELECT source, arg_max(doc_id, (n_chars % 1000, doc_id)) AS latest FROM documents GROUP BY source".replace("(n_chars % 1000, doc_id)", "(n_chars % 1000) * 1000000000 + doc_id"))
+@query("SELECT source, arg_max(doc_id, (n_chars % 1000) * 1000000000 + doc_id) AS latest FROM documents GROUP BY source")
 def latest_by_suffix(t: Tables) -> DataFrame:
     """The entry with the largest numeric suffix, ties to the larger id."""
     return t.documents.groupBy("source").agg(F.max_by("doc_id", F.struct(F.col("n_chars") % 1000, "doc_id")).alias("latest"))

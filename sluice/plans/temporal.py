@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from sluice.operators import temporal as T
 from sluice.plans.catalog import Tables, query
 
-_PLAN = "list_transform(range(9), lambda i: round_even((l_linenumber::DOUBLE + i * l_quantity) / 1.0 * 1.0, 0)::INT)"
-
 
 @query("SELECT l_orderkey, l_linenumber, array_to_string(list_transform(range(9), lambda i: round_even(l_linenumber + i * l_quantity / 24.0, 0)::INT), ',') AS plan FROM lineitem")
 def frame_resample_plan(t: Tables) -> DataFrame:
@@ -25,7 +23,7 @@ def plan_validity(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p_partkey, array_to_string(list_transform(list_sort(list_transform(list_distinct(c), lambda x: {'at': list_position(c, x), 'x': x})), lambda s: s.x), ',') AS starts FROM (
-  SELECT p_partkey, list_filter(list_concat(list_transform([0, -1, 1, -2, 2], lambda o: p_size // 2 + o), list_transform([0, -1, 1, -2, 2], lambda o: 1 + o), list_transform([0, -1, 1, -2, 2], lambda o: p_size + o)), lambda s: s >= 1 AND s <= p_size) AS c FROM part)""".replace("p_size // 2", "(p_size // 2)"))
+  SELECT p_partkey, list_filter(list_concat(list_transform([0, -1, 1, -2, 2], lambda o: (p_size // 2) + o), list_transform([0, -1, 1, -2, 2], lambda o: 1 + o), list_transform([0, -1, 1, -2, 2], lambda o: p_size + o)), lambda s: s >= 1 AND s <= p_size) AS c FROM part)""")
 def plan_candidates(t: Tables) -> DataFrame:
     starts = T.candidate_starts(F.floor(F.col("p_size") / 2).cast("int"), F.lit(1), F.col("p_size"))
     return t.part.select("p_partkey", F.array_join(starts.cast("array<string>"), ",").alias("starts"))

@@ -12,7 +12,7 @@ from sluice.plans.catalog import Tables, query
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(left(text, 200), ',', '|'), '|'), lambda x: trim(x, ' ')), lambda x: x <> ''), '/') AS paths FROM documents")
 def path_list_parse(t: Tables) -> DataFrame:
-    """Documents' first 200 characters as a delimited list of paths."""
+    """A delimited list in the first 200 characters of a document (a list is short) as paths."""
     listed = F.replace(F.substring("text", 1, 200), F.lit(","), F.lit("|"))
     return t.documents.select("doc_id", F.array_join(X.path_list(F.concat(F.lit("|"), listed)), "/").alias("paths"))
 
@@ -70,7 +70,7 @@ def three_schema_union(t: Tables) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).unionByName(c)
 
 
-@query("SELECT page_id, regexp_matches(p, '^(/|[A-Za-z]:[\\\\/])') AS absolute, CASE WHEN regexp_matches(p, '^(/|[A-Za-z]:[\\\\/])') THEN p ELSE '/data/' || p END AS resolved FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/a/' || page_id WHEN 1 THEN 'C:/b/' || page_id ELSE 'c/' || page_id END AS p FROM pages)".replace("\\\\\\\\", "\\\\"))
+@query("SELECT page_id, regexp_matches(p, '^(/|[A-Za-z]:[\\\\/])') AS absolute, CASE WHEN regexp_matches(p, '^(/|[A-Za-z]:[\\\\/])') THEN p ELSE '/data/' || p END AS resolved FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/a/' || page_id WHEN 1 THEN 'C:/b/' || page_id ELSE 'c/' || page_id END AS p FROM pages)")
 def path_resolution(t: Tables) -> DataFrame:
     n = F.col("page_id").cast("string")
     p = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/a/"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("C:/b/"), n)).otherwise(F.concat(F.lit("c/"), n))
