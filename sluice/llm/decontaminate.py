@@ -27,6 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.keys import with_keys, without_keys
 from sluice.llm.store import keep, table
 
 WIDTH = 5
@@ -114,9 +115,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     starts = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
     laid = keep(hits.select("k", "size", starts.alias("start")).distinct(), "windows")
 
-    #: texts with a window, each with its shingles; a window is a slice of them
+    #: texts with a window, each with its shingles; a window is a slice of them. Other texts
+    #: are left out by a bitmap of bounded size before any text is shuffled
     wanted = laid.groupBy("k").agg(F.collect_set(F.struct("size", "start")).alias("laid"))
-    met = shingled(docs.join(wanted, "k")).select("k", "doc_id", "sh", F.explode("laid").alias("x")).select("k", "doc_id", "x.size", "x.start", F.slice("sh", F.col("x.start") + 1, F.greatest(F.lit(1), F.col("x.size") - (WIDTH - 1))).alias("sh"))
+    met = shingled(with_keys(docs, "k", wanted.withColumnRenamed("k", "key"))).select("k", "doc_id", "sh", F.explode("laid").alias("x")).select("k", "doc_id", "x.size", "x.start", F.slice("sh", F.col("x.start") + 1, F.greatest(F.lit(1), F.col("x.size") - (WIDTH - 1))).alias("sh"))
     windows = keep(with_fingerprint(met.dropDuplicates(["k", "doc_id", "size", "start"])), "fingerprints")
 
     keyed = windows.select("k", "doc_id", "size", "start", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)])).alias("x")).select("k", "doc_id", "size", "start", "fp", "x.*")
@@ -135,8 +137,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without documents that hold a window of an item."""
-    bad = leaks(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    bad = keep(leaks(docs, items, threshold).select(named("doc_id").alias("key")).distinct(), "leaked")
+    return without_keys(docs.withColumn("_id", named("doc_id")), "_id", bad).drop("_id")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
