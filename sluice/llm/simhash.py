@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.components import connected_components
+from sluice.llm.keys import with_keys, without_keys
 from sluice.llm.store import keep, slots, table
 from sluice.llm.wordbytes import Words, pieces
 
@@ -219,13 +220,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 def first_of_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group: its smallest (id, text hash). All columns stay."""
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    name = lambda i, h: F.concat_ws(":", F.coalesce(F.col(i).cast("long").cast("string"), F.lit("null")), h)
     got = _grouped(docs, radius, id_col).select("doc_id", "h", "root")
-    least = got.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("i"), "h")).alias("x"))
-    chosen = keep(least.select(F.when(F.col("x.i") < 1 << 62, F.col("x.i")).alias("_i"), F.col("x.h").alias("_g")), "chosen")
-    kept = keyed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left_semi")
-    repeated = got.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return (kept.dropDuplicates([id_col, "_h"]) if repeated else kept).drop("_h")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "h")
+    rows = got.groupBy("doc_id", "h", "root").agg(F.count(F.lit(1)).alias("n"))
+    least = rows.groupBy("root").agg(F.min(place).alias("least"))
+    rows = keep(rows.join(least, "root").select(name("doc_id", "h").alias("key"), (place == F.col("least")).alias("stays"), "n"), "places")
+    keyed = docs.withColumn("_place", name(id_col, F.xxhash64("text")))
+    kept = without_keys(keyed, "_place", rows.where("not stays").select("key"))
+    #: of rows that are repeated as they are, one stays; others are not shuffled for that
+    repeated = rows.where("stays and n > 1").select("key")
+    if repeated.limit(1).count():
+        kept = without_keys(kept, "_place", repeated).unionAll(with_keys(kept, "_place", repeated).dropDuplicates(["_place"]))
+    return kept.drop("_place")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
