@@ -39,3 +39,12 @@ def slots(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that ``keep`` and the bucketed text copies left behind. Call it when
+    no result of this session is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/sluice")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for found in spark.catalog.listTables(pattern="sluice_texts_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {found.name}")

@@ -162,3 +162,15 @@ def test_first_of_groups_keeps_one_row(spark):
     got = simhash.first_of_groups(df)
     assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "4", "None"]
     assert simhash.first_of_groups(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_forget_removes_kept_tables(spark):
+    from sluice.llm import store
+
+    kept = store.keep(spark.range(3), "some")
+    assert kept.count() == 3
+    suffix_dedup.with_row_ids(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    store.forget(spark)
+    assert not spark.catalog.listTables(pattern="sluice_texts_*")
+    with pytest.raises(Exception):
+        kept.count()
