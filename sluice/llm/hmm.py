@@ -248,13 +248,34 @@ def baum_welch_round(texts: DataFrame, model: Hmm, size: int, background: np.nda
     return maximised(rows[size], rows[size + 1 :], rows[:size], background)
 
 
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """Words from the smallest count that at most ``most`` words reach. The count is
+    found on a histogram of sixteenths of octaves, so nothing is sorted or merged on the driver."""
+    octave = F.floor(F.log2("c") * 16)
+    steps = sorted(counts.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r.o)  # some thousand rows at most
+    total, least = 0, None
+    for step in steps:
+        total += step.n
+        if total > most:
+            break
+        least = step.least
+    return counts.where(F.lit(False) if least is None else F.col("c") >= least)
+
+
+def hash_sample(rows: DataFrame, key: list[str], size: int) -> DataFrame:
+    """All rows if there are ``size`` at most, else about ``size`` by a hash of ``key``."""
+    n = rows.count()
+    return rows if n <= size else rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * size / n))
+
+
 def hmm_scores(docs: DataFrame, held_out, id_col: str = "doc_id") -> DataFrame:
     """Train on rows where ``held_out`` is false and score all rows of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     counts = keep(word_counts(rows.where(~F.col("held_out"))), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    top = frequent_words(counts, KNOWN).collect()
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     words = [bytes(r.word) for r in top]
     of_top = np.array([r.c for r in top], dtype=np.int64)
     n_sym = min(SYMBOLS, len(words))
@@ -270,7 +291,7 @@ def hmm_scores(docs: DataFrame, held_out, id_col: str = "doc_id") -> DataFrame:
     texts = encoded(rows, spark.sparkContext.broadcast(lex))
 
     training = texts.where("not held_out")
-    sample = [np.frombuffer(r.seq, dtype=np.uint16).astype(np.int64) for r in training.orderBy(F.xxhash64("doc_id"), "rid").limit(SEED_TEXTS).select("seq").toLocalIterator()]
+    sample = [np.frombuffer(r.seq, dtype=np.uint16).astype(np.int64) for r in hash_sample(training.select("doc_id", "rid", "seq"), ["doc_id", "rid"], SEED_TEXTS).orderBy("rid").collect()]
     model = seeded(sample, background)
     for _ in range(ROUNDS):
         model = baum_welch_round(training, model, lex.size, background)
