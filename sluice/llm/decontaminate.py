@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame operations only.
 
 1. Texts and items become words (lower case, split at ASCII white space) and five-word
-   shingles. A window of an item's size that is similar to it shares a shingle with it, so
-   windows are laid where a shared shingle puts them: shingle p of a text that equals
-   shingle q of an item gives the window of the item's size that starts at p - q.
+   shingles. Similarity ignores the order of shingles, so every start counts, not only those
+   where shared shingles stand at the item's own places. A window of an item's size is laid at
+   every start where so many of its shingles are the item's that it can reach the threshold.
 2. Windows and items get 64-bit SimHash fingerprints of their shingles (each as often as it
    occurs). Fingerprints are cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits differ by
    at most RADIUS // BLOCKS bits in some block, and the items' side lists
@@ -98,9 +98,30 @@ def _small(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
+def laid_starts(at: Column, n: Column, size: Column, threshold: float) -> Column:
+    """Starts of all windows that can reach ``threshold``. at: the sorted places of a text of n words
+    whose shingles an item of ``size`` words has.
+
+    Of T shingles in a window and S in an item at least threshold * (T + S) / (1 + threshold) are
+    common, so a window holds ``need`` places in a row, the i-th to the last of them. The starts
+    that hold them from the i-th are a range; what the range before has is left out of it."""
+    total = F.least(n, size) - (WIDTH - 1)
+    need = F.greatest(F.lit(1), F.ceil(threshold * (total + size - (WIDTH - 1)) / (1 + threshold) - 1e-9).cast("int"))
+    last = F.greatest(F.lit(0), n - size)
+
+    def starts(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get(at, i + need - 1) - total + 1, F.coalesce(F.get(at, i - 1), F.lit(-1)) + 1)
+        high = F.least(F.get(at, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    firsts = F.when(F.size(at) >= need, F.sequence(F.lit(0), F.size(at) - need)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(firsts, starts))
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, start (word), size (words), similarity: the best window, then the
-    first, of every document and item with a window at ``threshold`` or more.
+    """doc_id, item_id, start (word), size (words), similarity: the best window of every
+    document and item with a window at ``threshold`` or more; of equal ones one that has a shared
+    shingle at the item's own place, then the first.
 
     docs: doc_id, text; items: item_id, text; further columns are ignored.
     """
@@ -111,9 +132,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     found = shingled(docs).select("k", "n", F.posexplode("sh").alias("p", "h"))
-    hits = found.join(_small(item_sh.select("size", "q", "h").distinct(), n_sh), "h")
-    starts = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
-    laid = keep(hits.select("k", "size", starts.alias("start")).distinct(), "windows")
+    hits = found.join(_small(item_sh, n_sh), "h")
+    own_place = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
+    met = hits.groupBy("k", "n", "item_id", "size").agg(F.sort_array(F.collect_set("p")).alias("at"), F.collect_set(own_place).alias("own"))  # a text's words at most
+    met = met.select("k", "item_id", "size", "own", F.explode(laid_starts(F.col("at"), F.col("n"), F.col("size"), threshold)).alias("start"))
+    laid = keep(met.select("k", "item_id", "size", "start", F.array_contains("own", F.col("start")).alias("aligned")), "windows")
 
     #: texts with a window, each with its shingles; a window is a slice of them. Other texts
     #: are left out by a bitmap of bounded size before any text is shuffled
@@ -123,15 +146,15 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
 
     keyed = windows.select("k", "doc_id", "size", "start", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)])).alias("x")).select("k", "doc_id", "size", "start", "fp", "x.*")
     near = keyed.join(item_index(items), ["size", "block", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = near.select("k", "doc_id", "size", "start", "item_id").distinct()
+    pairs = near.select("k", "doc_id", "size", "start", "item_id").distinct().join(laid, ["k", "item_id", "size", "start"])
 
     own = pairs.join(windows.select("k", "size", "start", "sh").dropDuplicates(["k", "size", "start"]), ["k", "size", "start"])
-    left = own.select("k", "doc_id", "size", "start", "item_id", F.size("sh").alias("total"), F.explode("sh").alias("h")).groupBy("k", "doc_id", "size", "start", "item_id", "total", "h").agg(F.count(F.lit(1)).alias("a"))
+    left = own.select("k", "doc_id", "size", "start", "aligned", "item_id", F.size("sh").alias("total"), F.explode("sh").alias("h")).groupBy("k", "doc_id", "size", "start", "aligned", "item_id", "total", "h").agg(F.count(F.lit(1)).alias("a"))
     right = item_sh.groupBy("item_id", "h").agg(F.count(F.lit(1)).alias("b"))
     sizes = items.select("item_id", F.size("sh").alias("item_total"))
-    both = left.join(_small(right, n_sh), ["item_id", "h"]).groupBy("k", "doc_id", "size", "start", "item_id", "total").agg(F.sum(F.least("a", "b")).alias("common"))
+    both = left.join(_small(right, n_sh), ["item_id", "h"]).groupBy("k", "doc_id", "size", "start", "aligned", "item_id", "total").agg(F.sum(F.least("a", "b")).alias("common"))
     scored = both.join(_small(sizes, n_sh), "item_id").withColumn("similarity", F.col("common") / (F.col("total") + F.col("item_total") - F.col("common")))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size"))
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"), "size"))
     return scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", (-F.col("x.back")).cast("int").alias("start"), "x.size", "x.similarity")
 
 

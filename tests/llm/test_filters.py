@@ -65,6 +65,43 @@ def test_leaks_equal_brute_force(spark, sf):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def leaks_at_every_start(docs, items):
+    """The best similarity of any window of the item's size, for every document and item that reach 0.8."""
+    out = {}
+    for d, text in docs:
+        words = text.lower().split()
+        for i, item in items:
+            want = item.lower().split()
+            b = Counter(shingles(want))
+            for s in range(max(1, len(words) - len(want) + 1)):
+                a = Counter(shingles(words[s : s + len(want)]))
+                sim = sum((a & b).values()) / max(1, sum((a | b).values()))
+                if sim >= 0.8:
+                    out[d, i] = max(out.get((d, i), 0), round(sim, 9))
+    return out
+
+
+def test_leaks_in_changed_order(spark):
+    """Parts of an item that stand swapped share no window start with its own places."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs, items = [], []
+    for i in range(24):
+        item = [word() for _ in range(rng.choice([50, 60, 90]))]
+        cut = len(item) // 2 if i < 8 else rng.randrange(10, len(item) - 10)
+        swapped = item[cut:] + item[:cut]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join([word() for _ in range(80)] + swapped + [word() for _ in range(80)])))
+        docs.append((100 + i, " ".join([word() for _ in range(80)] + swapped[: len(item) // 2] + [word() for _ in range(80)])))
+    items += [(50, "a b c d e " * 6), (51, "x y z " * 9)]
+    docs += [(200, " ".join(word() for _ in range(30)) + " b c d e a" * 7), (201, "z x y " * 30), (202, "z x y " * 8)]
+    want = leaks_at_every_start(docs, items)
+    assert {(i, i) for i in range(24)} <= set(want) and {(200, 50), (201, 51), (202, 51)} <= set(want)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.leaks(d, b).collect()} == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_fingerprints_of_windows(spark):
     values = [3, 3, 5, -1]
     df = spark.createDataFrame([(values,)], "sh array<long>")
