@@ -1,11 +1,15 @@
 """Nearest neighbours by multiprobe p-stable hashing.
 
-Every table has ``WIDTH_K`` Gaussian projections cut into cells of width ``CELL``. A query
+Every table has ``WIDTH_K`` Gaussian projections cut into cells of width ``CELL`` times the
+data's scale: the ``SCALE_SHARE`` quantile of distances from the mean, over all vectors of one length. A query
 looks into its own bucket and into ``PROBES`` buckets with perturbed cells, in the order
 of their estimated success: the sum of squared distances to the cell borders that are
 crossed, smallest first, from a heap of shift and expand moves. Candidates of all tables are
 ranked by exact Euclidean distance in double precision on the original vectors.
 
+Queries for which the probed buckets hold fewer than k rows, and those that lie more than ``FAR`` scales
+from the mean, are compared with all vectors of their length, block by block.
+
 Equal vectors are indexed once, with their k + 1 smallest ids (a window limit that Spark
 applies before its shuffle), so a vector that a third of all rows share is one entry.
 Buckets of more than ``SPLIT`` entries are parted by a hash of the id, and their
@@ -13,7 +17,7 @@ queries go to every part. A bucket's part gives the k + 1 nearest for each query
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; distances are defined between vectors of one length; fewer
-candidates than k give fewer rows; ties go to the smaller id; rows with a null id take no part;
+vectors than k of a length give fewer rows; ties go to the smaller id; rows with a null id take no part;
 of repeated ids each row counts.
 """
 
@@ -32,6 +36,8 @@ from sluice.llm.store import keep, slots, table
 TABLES = 4
 WIDTH_K = 6
 CELL = 2.0
+SCALE_SHARE = 0.9
+FAR = 2.0
 PROBES = 48
 SPLIT = 50_000
 SEED = 20_240
@@ -94,11 +100,38 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch], probes: int | None) -> Iterator[pa.RecordBatch]:
+def centres(entries: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of all vectors of each length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in _matrix(batch.column("v")) if batch.num_rows else []:
+                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64()))], names=["dim", "n", "total"])
+
+    sums = entries.select("v").mapInArrow(run, "dim int, n long, total array<double>").select("dim", "n", F.posexplode("total").alias("i", "t"))
+    out: dict[int, np.ndarray] = {}
+    for r in sums.groupBy("dim", "i").agg((F.sum("t") / F.sum("n")).alias("mean")).collect():  # a row per length and component
+        out.setdefault(r.dim, np.zeros(r.dim))[r.i] = r["mean"]
+    return out
+
+
+def _far(centre: dict[int, np.ndarray]):
+    """uid, length and distance from the mean of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in _matrix(batch.column("v")) if batch.num_rows else []:
+                far = np.linalg.norm(x - centre[x.shape[1]], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(rows)), pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array(far)], names=["uid", "dim", "far"])
+
+    return run
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch], probes: int | None, scale: dict[int, float]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, vectors in _matrix(batch.column("v")) if batch.num_rows else []:
             for number in range(TABLES):
-                at = cells(vectors, number)
+                at = cells(vectors / scale[vectors.shape[1]], number)
                 low = np.floor(at)
                 if probes is None:
                     who, where = rows, low
@@ -165,6 +198,21 @@ def usable(column: str):
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _of_length(scale: dict[int, float]):
+    return F.element_at(F.create_map(*[F.lit(x) for pair in scale.items() for x in pair]), F.col("dim")) if scale else F.lit(1.0)
+
+
+def _compared(asking: DataFrame, entries: DataFrame, n: int) -> DataFrame:
+    """Every block of queries beside every block of entries of their length, for ``_search``."""
+    sized = lambda df, name: df.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias(name))
+    blocks = F.broadcast(keep(sized(asking, "of_q").join(sized(entries, "of_e"), "dim"), "blocks"))  # a row per length
+    block = lambda c: F.pmod(F.xxhash64("uid"), F.col(c)).cast("int")
+    asks = asking.withColumn("dim", F.size("v")).join(blocks, "dim").withColumn("e", F.explode(F.sequence(F.lit(0), F.col("of_e") - 1))).withColumn("q", block("of_q"))
+    gives = entries.withColumn("dim", F.size("v")).join(blocks, "dim").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("of_q") - 1))).withColumn("e", block("of_e"))
+    dealt = [x.select(F.col("dim").cast("long").alias("bucket"), (F.col("e") * F.col("of_q") + F.col("q")).alias("part"), F.lit(role).alias("role"), "uid", "v") for role, x in enumerate((asks, gives))]
+    return dealt[0].unionAll(dealt[1]).repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "role", "uid")
+
+
 def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row where ``is_query``."""
     n = slots(rows.sparkSession)
@@ -177,14 +225,26 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
     asked = keep(used.where("asks").select(F.col("id").alias("query_id"), "h1", "h2").join(entries.select("h1", "h2", F.col("uid").alias("quid")), ["h1", "h2"]).select("query_id", "quid"), "asked")
 
     bucketed = "bucket long, uid long, v array<double>"
-    index = entries.select("uid", "v").mapInArrow(lambda b: _bucketed(b, None), bucketed)
-    queries = entries.join(asked.select(F.col("quid").alias("uid")).distinct(), "uid", "left_semi").select("uid", "v").mapInArrow(lambda b: _bucketed(b, probes), bucketed)
+    asking = keep(entries.join(asked.select(F.col("quid").alias("uid")).distinct(), "uid", "left_semi").select("uid", "v"), "asking")
+    centre = centres(entries)
+    distances = "uid long, dim int, far double"
+    spans = entries.select("uid", "v").mapInArrow(_far(centre), distances).where(~F.isnan("far")).groupBy("dim").agg(F.percentile_approx("far", SCALE_SHARE).alias("span")).collect()  # a row per length
+    scale = {dim: 1.0 for dim in centre} | {r.dim: r.span for r in spans if 0 < r.span < float("inf")}
+    index = entries.select("uid", "v").mapInArrow(lambda b: _bucketed(b, None, scale), bucketed)
+    queries = asking.mapInArrow(lambda b: _bucketed(b, probes, scale), bucketed)
     crowded = keep(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("bucket", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "crowded")
     parts = F.coalesce("parts", F.lit(1))
     index = index.join(crowded, "bucket", "left").select("bucket", F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"), F.lit(1).alias("role"), "uid", "v")
     queries = queries.join(crowded, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "uid", "v")
     dealt = index.unionAll(queries).repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "role", "uid")
-    found = dealt.mapInArrow(_search(k + 1), "quid long, uid long, dist double").dropDuplicates(["quid", "uid"])
+    results = "quid long, uid long, dist double"
+    found = keep(dealt.mapInArrow(_search(k + 1), results).dropDuplicates(["quid", "uid"]), "found")
+
+    held = found.join(ids.select("uid", F.size("ids").alias("m")), "uid").groupBy(F.col("quid").alias("uid")).agg(F.sum("m").alias("m"))
+    outer = asking.mapInArrow(_far(centre), distances).where(F.col("far") > FAR * _of_length(scale))
+    short = asking.join(held, "uid", "left").where(F.coalesce("m", F.lit(0)) <= k).select("uid")
+    left = keep(asking.join(short.unionAll(outer.select("uid")).distinct(), "uid", "left_semi"), "left")
+    found = found.unionAll(_compared(left, entries.select("uid", "v"), n).mapInArrow(_search(k + 1), results)).dropDuplicates(["quid", "uid"])
 
     by_near = Window.partitionBy("quid").orderBy("dist", "uid")
     top = found.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= k + 1).drop("r")

@@ -198,6 +198,22 @@ def test_recall(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_recall_on_scaled_clustered_and_mixed_vectors(spark):
+    """With the query's own probes."""
+    rng = np.random.default_rng(11)
+    unit = lambda n, d: (x := rng.normal(size=(n, d))) / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(8, 32) * 500
+    kinds = [unit(500, 24) * 10, unit(500, 16) * 1e-3, centres[rng.integers(0, 8, 500)] + rng.normal(size=(500, 32)), unit(500, 20) * np.where(np.arange(500) % 25 == 0, 40, 1)[:, None]]
+    rows = [(1000 * t + i, v.tolist()) for t, x in enumerate(kinds) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).toPandas()
+    want = brute_nearest(rows)
+    for t in range(len(kinds)):
+        near = {i: x for i, x in want.items() if i // 1000 == t}
+        assert all((got.query_id == i).sum() == 10 for i in near)
+        hits = sum(len(set(got[got.query_id == i].vec_id) & {j for _, j in x}) for i, x in near.items())
+        assert hits >= 0.9 * sum(map(len, near.values())), (t, hits)
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_perturbations_come_in_order_of_cost(k):
     rng = np.random.default_rng(k)
