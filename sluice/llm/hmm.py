@@ -8,10 +8,10 @@ words and the remaining unit stands for words not seen. Each symbol has one prob
 state, so the scaled forward recursion over symbols, times the class terms, is the exact likelihood of
 the text.
 
-Training: word counts over all training texts; starting values from a bounded sample
-(``SEED_TEXTS``, a parameter); then ``ROUNDS`` Baum-Welch rounds in which every partition runs the
+Training: word counts over all training texts; starting values from all training texts, dealt to states
+by their most frequent symbol; then Baum-Welch rounds in which every partition runs the
 scaled forward-backward recursion over its whole texts and the expected counts are summed by
-Spark, a row per symbol. The table of frequent words is bounded by ``KNOWN``; counts of
+Spark, a row per symbol, until a round gains no more than ``SETTLED`` of the log likelihood. The table of frequent words is bounded by ``KNOWN``; counts of
 rarer words are joined, never broadcast.
 
 Defined results: null or empty text is the end token alone; repeated rows train and score
@@ -36,9 +36,7 @@ STATES = 8
 SYMBOLS = 8_192
 CLASSES = 512
 KNOWN = 131_072
-SEED_TEXTS = 1_500
-SEED_ROUNDS = 15
-ROUNDS = 2
+SETTLED = 1e-3
 #: Pseudo-counts that smooth emissions towards all texts' symbol frequencies, and moves.
 SMOOTH_EMIT, SMOOTH_MOVE = 50.0, 1.0
 END = b""
@@ -124,19 +122,26 @@ def maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, backgrou
     return Hmm(start, move, emit / emit.sum(axis=0, keepdims=True))
 
 
-def seeded(seqs: list[np.ndarray], background: np.ndarray, states: int = STATES, rounds: int = SEED_ROUNDS) -> Hmm:
-    """Starting values: states that stay, with emissions of texts dealt to them, refined on a sample."""
-    rng = np.random.default_rng(7)
-    emits = background[:, None] * rng.uniform(0.5, 1.5, size=(len(background), states))
+def seeded(seqs: list[np.ndarray], background: np.ndarray, states: int = STATES, rounds: int = 0) -> Hmm:
+    """Starting values of texts dealt to states in turn, and ``rounds`` rounds, all in memory."""
+    dealt = np.zeros((len(background), states))
     for k, s in enumerate(seqs):
-        emits[:, k % states] += 0.2 * np.bincount(s, minlength=len(background)) / max(1, len(s)) / max(1, len(seqs) / states)
-    stay = np.full((states, states), 0.05 / max(1, states - 1)) + np.eye(states) * (0.95 - 0.05 / max(1, states - 1))
-    model = Hmm(np.full(states, 1 / states), stay / stay.sum(axis=1, keepdims=True), emits / emits.sum(axis=0, keepdims=True))
+        dealt[:, k % states] += np.bincount(s, minlength=len(background)) / max(1, len(s))
+    model = starting(dealt / max(1, len(seqs) / states), background)
     for _ in range(rounds if seqs else 0):
         model = maximised(*expected_counts(model, seqs, len(background))[:3], background)
     return model
 
 
+def starting(dealt: np.ndarray, background: np.ndarray, share: float = 0.2) -> Hmm:
+    """States that stay, with emissions near all texts' frequencies and ``share`` of those dealt to them."""
+    states = dealt.shape[1]
+    rng = np.random.default_rng(7)
+    emits = background[:, None] * rng.uniform(0.5, 1.5, size=(len(background), states)) + share * dealt
+    stay = np.full((states, states), 0.05 / max(1, states - 1)) + np.eye(states) * (0.95 - 0.05 / max(1, states - 1))
+    return Hmm(np.full(states, 1 / states), stay / stay.sum(axis=1, keepdims=True), emits / emits.sum(axis=0, keepdims=True))
+
+
 def held_out_column(id_col: str = "doc_id", folds: int = 5, fold: int = 1):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
@@ -222,30 +227,80 @@ def _batches_of(batches: Iterator[pa.RecordBatch], limit: int = 1_500_000) -> It
     yield from pieces(batches, "seq", 2 * limit)
 
 
-def baum_welch_round(texts: DataFrame, model: Hmm, size: int, background: np.ndarray) -> Hmm:
-    """One round over all texts: counts of each partition, summed by symbol."""
+def _leading(seq: np.ndarray) -> int:
+    """The most frequent symbol of a text, its end aside."""
+    return int(np.bincount(seq[:-1]).argmax()) if len(seq) > 1 else int(seq[-1])
+
+
+def starting_model(texts: DataFrame, size: int, background: np.ndarray, states: int = STATES) -> Hmm:
+    """Starting values from all texts. Texts of one most frequent symbol (mostly of one language or
+    kind) go to one state; symbols are dealt by their numbers of texts, largest first, to the emptiest state."""
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for batch in _batches_of(batches):
+            for seq in _sequences(batch.column("seq")):
+                n[_leading(seq)] += 1
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["r", "n"])
+
+    state, load = np.zeros(size, np.int64), np.zeros(states, np.int64)
+    for r in sorted(texts.select("seq").mapInArrow(lead, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect(), key=lambda r: (-r.n, r.r)):  # a row per symbol
+        state[r.r] = load.argmin()
+        load[state[r.r]] += r.n
+    cols = [f"s{i}" for i in range(states)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((size, states))
+        for batch in _batches_of(batches):
+            for seq in _sequences(batch.column("seq")):
+                symbols, n = np.unique(seq, return_counts=True)
+                rows[symbols, state[_leading(seq)]] += n / len(seq)
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(rows[used, i].copy()) for i in range(states)]], names=["r", *cols])
+
+    dealt = np.zeros((size, states))
+    for r in texts.select("seq").mapInArrow(deal, "r int, " + ", ".join(f"{c} double" for c in cols)).groupBy("r").agg(*[F.sum(c).alias(c) for c in cols]).collect():  # a row per symbol
+        dealt[r.r] = [r[c] for c in cols]
+    return starting(dealt / np.maximum(1, load), background, 1.0)
+
+
+def baum_welch_round(texts: DataFrame, model: Hmm, size: int, background: np.ndarray) -> tuple[Hmm, float]:
+    """One round over all texts: counts of each partition, summed by symbol; and the log10
+    likelihood of the texts before it."""
     k = len(model.start)
     share = texts.sparkSession.sparkContext.broadcast(model)
     cols = [f"s{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = share.value
-        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+        starts, moves, emits, log = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), np.zeros((1, k))
         for batch in _batches_of(batches):
-            a, b, c, _ = expected_counts(m, _sequences(batch.column("seq")), size)
+            a, b, c, d = expected_counts(m, _sequences(batch.column("seq")), size)
             starts += a
             moves += b
             emits += c
-        rows = np.concatenate([emits, starts[None, :], moves])
+            log[0, 0] += d
+        rows = np.concatenate([emits, starts[None, :], moves, log])
         used = np.flatnonzero(rows.any(axis=1))
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(rows[used, i].copy()) for i in range(k)]], names=["r", *cols])
 
     summed = texts.select("seq").mapInArrow(run, "r int, " + ", ".join(f"{c} double" for c in cols)).groupBy("r").agg(*[F.sum(c).alias(c) for c in cols])
-    rows = np.zeros((size + 1 + k, k))
-    for r in summed.collect():  # a row per symbol, state and start
+    rows = np.zeros((size + 2 + k, k))
+    for r in summed.collect():  # a row per symbol, state and start, and the likelihood
         rows[r.r] = [r[c] for c in cols]
-    return maximised(rows[size], rows[size + 1 :], rows[:size], background)
+    return maximised(rows[size], rows[size + 1 : -1], rows[:size], background), float(rows[-1, 0])
+
+
+def trained(texts: DataFrame, size: int, background: np.ndarray) -> Hmm:
+    """Rounds over all texts until the likelihood settles."""
+    model, before = starting_model(texts, size, background), None
+    while True:
+        model, now = baum_welch_round(texts, model, size, background)
+        if before is not None and now - before <= SETTLED * abs(before):
+            return model
+        before = now
 
 
 def frequent_words(counts: DataFrame, most: int) -> DataFrame:
@@ -262,12 +317,6 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else F.col("c") >= least)
 
 
-def hash_sample(rows: DataFrame, key: list[str], size: int) -> DataFrame:
-    """All rows if there are ``size`` at most, else about ``size`` by a hash of ``key``."""
-    n = rows.count()
-    return rows if n <= size else rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * size / n))
-
-
 def hmm_scores(docs: DataFrame, held_out, id_col: str = "doc_id") -> DataFrame:
     """Train on rows where ``held_out`` is false and score all rows of ``docs``."""
     spark = docs.sparkSession
@@ -291,10 +340,7 @@ def hmm_scores(docs: DataFrame, held_out, id_col: str = "doc_id") -> DataFrame:
     texts = encoded(rows, spark.sparkContext.broadcast(lex))
 
     training = texts.where("not held_out")
-    sample = [np.frombuffer(r.seq, dtype=np.uint16).astype(np.int64) for r in hash_sample(training.select("doc_id", "rid", "seq"), ["doc_id", "rid"], SEED_TEXTS).orderBy("rid").collect()]
-    model = seeded(sample, background)
-    for _ in range(ROUNDS):
-        model = baum_welch_round(training, model, lex.size, background)
+    model = trained(training, lex.size, background)
     share = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,6 +65,26 @@ def test_rounds_raise_the_likelihood():
     assert hmm.expected_counts(model, seqs, 6)[3] > before
 
 
+def test_starting_values_hold_every_text(spark):
+    """Four of 4,000 texts have symbols of their own: these lean to the state the texts were dealt to."""
+    rng = np.random.default_rng(8)
+    seqs = [np.append(rng.integers(0, 5, 12) + (50 if i % 1000 == 7 else 5 * (i % 10)), 60) for i in range(4000)]
+    texts = spark.createDataFrame([(s.astype(np.uint16).tobytes(),) for s in seqs], "seq binary")
+    background = np.bincount(np.concatenate(seqs), minlength=61) + 0.5
+    model = hmm.starting_model(texts, 61, background / background.sum())
+    assert (model.emit[:60].max(axis=1) > 2.5 * model.emit[:60].min(axis=1)).all()
+
+
+def test_rounds_go_on_until_the_likelihood_settles(spark):
+    rng = np.random.default_rng(6)
+    seqs = [np.append(rng.integers(0, 4, 12) + 4 * (i % 3), 12) for i in range(300)]
+    texts = spark.createDataFrame([(s.astype(np.uint16).tobytes(),) for s in seqs], "seq binary")
+    model, flat = hmm.trained(texts, 13, np.full(13, 1 / 13)), np.full(13, 1 / 13)
+    a, b, c, before = hmm.expected_counts(model, seqs, 13)
+    after = hmm.expected_counts(hmm.maximised(a, b, c, flat), seqs, 13)[3]
+    assert after - before <= 2 * hmm.SETTLED * abs(before)
+
+
 def tokens_of(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) + [b""]
 
