@@ -161,11 +161,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
 class Lexicon:
     """What scoring must know of words: bounded by KNOWN words and CLASSES classes."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, tokens: int, distinct: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, tokens: int, distinct: int, ends: int = 0):
         self.counts = np.append(counts, 0)  # of KNOWN words; last: not among them
         self.symbols = min(SYMBOLS, len(words))
         self.at = {w: i for i, w in enumerate(words)}
         self.class_log = np.log10(class_tokens + 0.5 * (class_words + 1))
+        self.ends = ends  # of the end token, known or not
         self.tokens, self.base_log = tokens, np.log10(tokens + 0.5 * (distinct + 1))
 
     @property
@@ -208,7 +209,7 @@ def encoded(rows: DataFrame, lexicon) -> DataFrame:
             inner = np.where(in_class, logc - lex.class_log[np.where(in_class, symbol - lex.symbols - 1, 0)], 0.0)
             doc, n = words.doc_of(), batch.num_rows
             total = lambda x: np.bincount(doc, weights=x[index], minlength=n) if len(index) else np.zeros(n)
-            end_c = lex.counts[end] if end >= 0 else 0
+            end_c = lex.ends
             known = total((place >= 0).astype(float)) + (end_c > 0)
             base = total(logc) + np.log10(end_c + 0.5)
             unknown = np.flatnonzero(place[index] < 0) if len(index) else np.zeros(0, np.int64)
@@ -328,14 +329,15 @@ def hmm_scores(docs: DataFrame, held_out, id_col: str = "doc_id") -> DataFrame:
     words = [bytes(r.word) for r in top]
     of_top = np.array([r.c for r in top], dtype=np.int64)
     n_sym = min(SYMBOLS, len(words))
+    ends = (counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first())[0]
     frequent = spark.createDataFrame([(w,) for w in words[:n_sym]], "word binary")
     suffix = F.when(F.length("word") > 3, F.expr("substring(word, length(word) - 2, 3)")).otherwise(F.col("word"))
-    grouped = counts.join(F.broadcast(frequent), "word", "left_anti").groupBy(F.pmod(F.crc32(suffix), F.lit(CLASSES)).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))  # SYMBOLS rows at most
+    grouped = counts.join(F.broadcast(frequent), "word", "left_anti").where(F.length("word") > 0).groupBy(F.pmod(F.crc32(suffix), F.lit(CLASSES)).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))  # SYMBOLS rows at most
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in grouped.collect():
         class_tokens[r.k], class_words[r.k] = r.c, r.v
-    lex = Lexicon(words, of_top, class_tokens, class_words, tokens, distinct)
-    background = np.concatenate([of_top[:n_sym], [0], class_tokens]) + 0.5
+    lex = Lexicon(words, of_top, class_tokens, class_words, tokens, distinct, ends)
+    background = np.concatenate([of_top[:n_sym], [0 if END in words[:n_sym] else ends], class_tokens]) + 0.5
     background /= background.sum()
     texts = encoded(rows, spark.sparkContext.broadcast(lex))
 
