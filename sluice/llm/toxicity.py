@@ -34,7 +34,8 @@ SAMPLE = 20_000
 FEATURES = 4_096
 #: A feature is kept if it occurs in so many sampled rows.
 LEAST_ROWS = 6
-#: ... and leans to one class by so many standard deviations; others are noise to the fit.
+#: ... and leans to one class by so many standard deviations; others are noise to the fit. Few labels
+#: cannot reach that, so half of the largest deviation found is enough, too.
 LEAST_Z = 5.0
 STEPS = 400
 RIDGE = 5e-4
@@ -154,7 +155,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a"), F.sum("toxic").alias("t")).where(F.col("a") >= LEAST_ROWS)
     share_bad = bad / n
     z = F.abs(F.col("t") - F.col("a") * share_bad) / F.sqrt(F.col("a") * share_bad * (1 - share_bad))
-    kept = counts.withColumn("lean", lean).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(n_features).select("f", "lean").collect()
+    ranked = counts.withColumn("lean", lean).withColumn("z", z)
+    bar = min(LEAST_Z, (ranked.agg(F.max("z")).first()[0] or 0.0) / 2)
+    kept = ranked.where((F.col("z") >= bar) & (F.col("z") > 1e-9)).orderBy(F.desc("z"), "f").limit(n_features).select("f", "lean").collect()
+    if not kept:  # nothing tells documents apart, so none is rejected
+        return OrdinalModel({}, np.zeros(0), np.array([60.0]))
     known = {bytes(r.f): i for i, r in enumerate(kept)}
     share = rows.sparkSession.sparkContext.broadcast(known)
 
