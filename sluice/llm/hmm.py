@@ -15,7 +15,9 @@ Spark, a row per symbol, until a round gains no more than ``SETTLED`` of the log
 rarer words are joined, never broadcast.
 
 Defined results: null or empty text is the end token alone; repeated rows train and score
-each; a null id counts as trained; an empty training set leaves uniform probabilities.
+each; a null id counts as trained; an empty training set leaves uniform probabilities; an empty table
+gives no rows. Columns other than the id and the text are ignored, whatever their names. A very long text is
+one sequence and never cut: a task holds about 60 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,10 @@ SETTLED = 1e-3
 #: Pseudo-counts that smooth emissions towards all texts' symbol frequencies, and moves.
 SMOOTH_EMIT, SMOOTH_MOVE = 50.0, 1.0
 END = b""
+#: Bytes of text that are counted, and coded, at a time, and symbols that one set of steps takes (one text at least).
+COUNTED, CODED, AT_ONCE = 8 << 20, 3 << 20, 1_000_000
+#: Symbols from which sets of texts of like lengths are made.
+GATHERED = 8_000_000
 
 
 def class_of(word: bytes) -> int:
@@ -71,13 +78,14 @@ def forward(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion."""
     flat, first, active, order = by_length(seqs)
     scale = np.empty(len(flat))
-    alpha = np.broadcast_to(model.start, (len(seqs), len(model.start)))
+    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    alpha = None
     for t, n in enumerate(active.tolist()):
         a, b = first[t], first[t + 1]
-        alpha = (alpha[:n] @ model.move if t else alpha) * model.emit[flat[a:b]]
-        total = alpha.sum(axis=1)
-        scale[a:b] = total
-        alpha /= total[:, None]
+        now = emit.take(flat[a:b], axis=1)
+        now *= model.start[:, None] if alpha is None else move @ alpha[:, :n]
+        now /= now.sum(axis=0, out=scale[a:b])
+        alpha = now
     row = np.concatenate([np.arange(n) for n in active])
     out = np.empty(len(seqs))
     out[order] = np.bincount(row, weights=np.log10(scale), minlength=len(seqs))
@@ -85,34 +93,37 @@ def forward(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
 
 
 def expected_counts(model: Hmm, seqs: list[np.ndarray], n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of starts, moves and emissions, and the log10 likelihood."""
+    """Baum-Welch counts of starts, moves and emissions, and the log10 likelihood. A row of
+    an array is a state, a column a place in a sequence."""
     k = len(model.start)
     flat, first, active, _ = by_length(seqs)
-    alphas = np.empty((len(flat), k), dtype=np.float32)
-    scale = np.empty(len(flat))
-    alpha = np.broadcast_to(model.start, (len(seqs), k))
+    held = np.empty((k, len(flat)), dtype=np.float32)  # scaled forward values, then posteriors
+    scale = np.empty(len(flat), dtype=np.float32)
+    emit, move = np.ascontiguousarray(model.emit.T, dtype=np.float32), model.move.astype(np.float32)
+    back_move, start = np.ascontiguousarray(move.T), model.start.astype(np.float32)[:, None]
+    alpha = None
     for t, n in enumerate(active.tolist()):
         a, b = first[t], first[t + 1]
-        alpha = (alpha[:n] @ model.move if t else alpha) * model.emit[flat[a:b]]
-        total = alpha.sum(axis=1)
-        scale[a:b] = total
-        alpha /= total[:, None]
-        alphas[a:b] = alpha
+        now = emit.take(flat[a:b], axis=1)
+        now *= start if alpha is None else back_move @ alpha[:, :n]
+        now /= now.sum(axis=0, out=scale[a:b])
+        held[:, a:b] = alpha = now
     moves = np.zeros((k, k))
-    gamma = np.empty((len(flat), k), dtype=np.float32)
-    beta = np.ones((len(seqs), k))
+    beta = np.ones((k, len(seqs)), dtype=np.float32)
     for t in range(len(active) - 1, -1, -1):
         n = int(active[t])
         a, b = first[t], first[t + 1]
-        now = beta[:n]
-        gamma[a:b] = alphas[a:b] * now
+        now = beta[:, :n]
+        held[:, a:b] *= now
         if t:
-            back = model.emit[flat[a:b]] * now / scale[a:b, None]
-            moves += alphas[first[t - 1] : first[t - 1] + n].T.astype(np.float64) @ back
-            beta[:n] = back @ model.move.T
+            back = emit.take(flat[a:b], axis=1)
+            back *= now
+            back /= scale[a:b]
+            moves += held[:, first[t - 1] : first[t - 1] + n] @ back.T
+            np.matmul(move, back, out=now)
     moves *= model.move
-    emits = np.stack([np.bincount(flat, weights=gamma[:, s], minlength=n_symbols) for s in range(k)], axis=1)
-    return gamma[: len(seqs)].sum(axis=0, dtype=np.float64), moves, emits, float(np.log10(scale).sum())
+    emits = np.stack([np.bincount(flat, weights=held[s], minlength=n_symbols) for s in range(k)], axis=1)
+    return held[:, : len(seqs)].sum(axis=1, dtype=np.float64), moves, emits, float(np.log10(scale, dtype=np.float64).sum())
 
 
 def maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, background: np.ndarray) -> Hmm:
@@ -150,10 +161,11 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word (folded bytes; empty: the end), c of all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            index, distinct = Words(batch.column("text")).encode()
+        for batch in pieces(batches, limit=COUNTED):
+            index, distinct = Words(batch.column("text")).coded()
             n = np.bincount(index, minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays([pa.array([*distinct, END], pa.binary()), pa.array(np.append(n, batch.num_rows))], names=["word", "c"])
+            words = pa.concat_arrays([distinct.cast(pa.binary()), pa.array([END], pa.binary())])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n, batch.num_rows))], names=["word", "c"])
 
     return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -183,49 +195,76 @@ class Lexicon:
         return place, symbol
 
 
-def _sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b, dtype=np.uint16).astype(np.int64) for b in column.to_pylist()]
-
-
 def encoded(rows: DataFrame, lexicon) -> DataFrame:
     """Each text as symbols, with the part of its sums that known words make and its other words.
 
     Columns: doc_id, held_out, rid, n_tokens, known, base (sum of log10(c+1/2) of known words),
     inner (log10 P(word | class) of known words, less the denominators of all class words), seq, rare.
     """
-    rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
         end = lex.at.get(END, -1)
         end_symbol = end if 0 <= end < lex.symbols else lex.symbols
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=CODED):
             words = Words(batch.column("text"))
-            index, distinct = words.encode()
-            place, symbol = lex.look(distinct)
+            index, distinct = words.coded()
+            index = index.astype(np.int64)
+            place, symbol = lex.look(distinct.to_pylist())
             c = lex.counts[place]  # -1: 0
             logc = np.where(place >= 0, np.log10(c + 0.5), 0.0)
             in_class = symbol > lex.symbols
             inner = np.where(in_class, logc - lex.class_log[np.where(in_class, symbol - lex.symbols - 1, 0)], 0.0)
             doc, n = words.doc_of(), batch.num_rows
             total = lambda x: np.bincount(doc, weights=x[index], minlength=n) if len(index) else np.zeros(n)
-            end_c = lex.ends
-            known = total((place >= 0).astype(float)) + (end_c > 0)
-            base = total(logc) + np.log10(end_c + 0.5)
+            known = total((place >= 0).astype(float)) + (lex.ends > 0)
+            base = total(logc) + np.log10(lex.ends + 0.5)
             unknown = np.flatnonzero(place[index] < 0) if len(index) else np.zeros(0, np.int64)
             key, count = np.unique((doc[unknown] << 32) | index[unknown], return_counts=True)
-            split = np.searchsorted(key >> 32, np.arange(n + 1))
-            items = [[{"word": distinct[w], "n": k} for w, k in zip((key[a:b] & 0xFFFFFFFF).tolist(), count[a:b].tolist())] for a, b in zip(split, split[1:])]
-            codes = symbol[index].astype(np.uint16)
-            seqs = [np.append(codes[a:b], np.uint16(end_symbol)).tobytes() for a, b in zip(words.first, words.first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(words.counts + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total(inner)), pa.array(seqs, pa.binary()), pa.array(items, rare)], names=["doc_id", "held_out", "n_tokens", "known", "base", "inner", "seq", "rare"])
+            rare = pa.StructArray.from_arrays([distinct.take(pa.array(key & 0xFFFFFFFF)).cast(pa.binary()), pa.array(count.astype(np.int64))], names=["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(key >> 32, np.arange(n + 1)).astype(np.int32)), rare)
+            #: the end goes behind each text's words
+            size = words.counts + 1
+            codes = np.empty(int(size.sum()), dtype=np.uint16)
+            ends = np.cumsum(size)
+            inside = np.ones(len(codes), dtype=bool)
+            inside[ends - 1] = False
+            codes[inside] = symbol[index]
+            codes[ends - 1] = end_symbol
+            seq = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total(inner)), seq, rare], names=["doc_id", "held_out", "n_tokens", "known", "base", "inner", "seq", "rare"])
 
     got = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, seq binary, rare array<struct<word:binary,n:long>>")
     return keep(got.withColumn("rid", F.monotonically_increasing_id()), "encoded")
 
 
-def _batches_of(batches: Iterator[pa.RecordBatch], limit: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    yield from pieces(batches, "seq", 2 * limit)
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] // 2
+    flat = np.frombuffer(column.buffers()[2], dtype=np.uint16)
+    return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of texts of like lengths, so that the steps of a set are few: about AT_ONCE symbols each."""
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(held).combine_chunks()
+        size = pc.binary_length(part.column("seq")).to_numpy()
+        part = part.take(pa.array(np.argsort(-size, kind="stable"))).combine_chunks()
+        for batch in part.to_batches():
+            yield from pieces(iter([batch]), "seq", 2 * AT_ONCE)
+
+    held, bytes_held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            bytes_held += pc.sum(pc.binary_length(batch.column("seq"))).as_py()
+            if bytes_held >= 2 * GATHERED:
+                yield from dealt(held)
+                held, bytes_held = [], 0
+    if held:
+        yield from dealt(held)
 
 
 def _leading(seq: np.ndarray) -> int:
@@ -345,15 +384,17 @@ def hmm_scores(docs: DataFrame, held_out, id_col: str = "doc_id") -> DataFrame:
     model = trained(training, lex.size, background)
     share = spark.sparkContext.broadcast(model)
 
+    kept = ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner"]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches_of(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(forward(share.value, _sequences(batch.column("seq"))))], names=["rid", "chain"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(forward(share.value, _sequences(batch.column("seq"))))], names=[*kept, "chain"])
 
-    chain = texts.select("rid", "seq").mapInArrow(score, "rid long, chain double")
+    scored = texts.select(*kept, "seq").mapInArrow(score, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, chain double")
     rare = texts.select("rid", F.explode("rare").alias("x")).select("rid", "x.*").join(counts, "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) * F.col("n")
     sums = rare.groupBy("rid").agg(F.sum(log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
-    out = texts.drop("seq", "rare").join(chain, "rid").join(sums, "rid", "left").na.fill({"more": 0.0, "seen": 0})
+    out = scored.join(sums, "rid", "left").na.fill({"more": 0.0, "seen": 0})
     return out.select(
         "doc_id",
         "held_out",

@@ -54,15 +54,20 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def encode(self) -> tuple[np.ndarray, list[bytes]]:
-        """(index of each word, distinct words)."""
+    def coded(self) -> tuple[np.ndarray, pa.Array]:
+        """(index of each word, distinct words as an array)."""
         size = self.ends - self.starts
         offsets = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=offsets[1:])
         packed = self.data[self.data != SPACE]
         array = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
         coded = array.dictionary_encode()
-        return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+    def encode(self) -> tuple[np.ndarray, list[bytes]]:
+        """(index of each word, distinct words)."""
+        index, distinct = self.coded()
+        return index, distinct.to_pylist()
 
     def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Words of each text with one space between; (bytes, starts, ends) of the words."""
