@@ -18,7 +18,8 @@ queries go to every part. A bucket's part gives the k + 1 nearest for each query
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; distances are defined between vectors of one length; fewer
 vectors than k of a length give fewer rows; ties go to the smaller id; rows with a null id take no part;
-of repeated ids each row counts.
+of repeated ids each row counts; an empty table gives no rows; columns other than the id and the vector are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

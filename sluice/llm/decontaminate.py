@@ -7,8 +7,8 @@
 2. Windows and items get 64-bit SimHash fingerprints of their shingles (each as often as it
    occurs). Fingerprints are cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits differ by
    at most RADIUS // BLOCKS bits in some block, and the items' side lists
-   every such variant of each block, so the join finds all pairs within the radius.
-   Windows meet items of their own size only.
+   every such variant of each block, so the join finds all pairs within the radius. A window
+   meets only the items it was laid for, so a large benchmark adds no random meetings.
 3. Candidates are verified by the exact weighted similarity of their shingles: weights
    are numbers of occurrences, similarity is sum of minima / sum of maxima.
 
@@ -16,8 +16,11 @@ Only the benchmark may be broadcast, and only while it has at most ``BROADCAST_R
 shingles; beyond that Spark joins by shuffling.
 
 Defined results: null or empty texts have no windows; texts shorter than an item have
-one window, the whole text; items of fewer than five words match nothing; repeated rows of
-a text count once per id; rows with a null id are judged, too, and come out under null.
+one window, the whole text; items of fewer than five words match nothing; very long texts and
+items are read whole (windows of over ``LANE`` shingles are counted bit by bit); repeated rows of
+a text count once per id; rows with a null id are judged, too, and come out under null; an empty table on either
+side gives no rows. Further columns, whatever their names, are ignored by ``leaks`` and kept by ``drop_leaks``,
+which judges each row by its own text, also where ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.keys import with_keys, without_keys
-from sluice.llm.store import keep, table
+from sluice.llm.store import fresh, keep, row_name, table
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -36,6 +39,8 @@ THRESHOLD = 0.8
 RADIUS = 20
 BLOCKS = 7
 BROADCAST_ROWS = 1_000_000
+#: Shingles that a 16-bit lane can count.
+LANE = 65_535
 
 _EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
 
@@ -75,8 +80,20 @@ def _bits(lanes: str) -> Column:
     return out
 
 
+def _counted(shingles: Column) -> Column:
+    """The same bits for any number of shingles, counted one bit after another."""
+
+    def bit(acc: Column, b: Column) -> Column:
+        has = F.size(F.filter(shingles, lambda h: F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1)) == 1))
+        return acc.bitwiseOR(F.when(has * 2 > F.size(shingles), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+
+
 def with_fingerprint(rows: DataFrame, shingles: str = "sh") -> DataFrame:
-    return rows.withColumn("_lanes", simhash(F.col(shingles))).withColumn("fp", _bits("_lanes")).drop("_lanes")
+    few = F.size(shingles) <= LANE
+    laned = rows.withColumn("_lanes", simhash(F.when(few, F.col(shingles)).otherwise(F.array().cast("array<long>"))))
+    return laned.withColumn("fp", F.when(few, _bits("_lanes")).otherwise(_counted(F.col(shingles)))).drop("_lanes")
 
 
 def _block(fp: Column, k: int) -> Column:
@@ -118,19 +135,17 @@ def laid_starts(at: Column, n: Column, size: Column, threshold: float) -> Column
     return F.flatten(F.transform(firsts, starts))
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, start (word), size (words), similarity: the best window of every
-    document and item with a window at ``threshold`` or more; of equal ones one that has a shared
-    shingle at the item's own place, then the first.
+def leaking_windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """k (a row's name), doc_id, item_id, start, size, aligned, similarity of every window found at ``threshold`` or more.
 
     docs: doc_id, text; items: item_id, text; further columns are ignored.
     """
     items = shingled(items.select("item_id", "text")).where("size(sh) > 0").select("item_id", F.col("n").alias("size"), "sh")
     items = keep(with_fingerprint(items), "items")
     item_sh = items.select("item_id", "size", F.posexplode("sh").alias("q", "h"))
-    n_sh = items.agg(F.coalesce(F.sum(F.size("sh")), F.lit(0))).first()[0]
+    n_sh, n_items = items.agg(F.coalesce(F.sum(F.size("sh")), F.lit(0)), F.count(F.lit(1))).first()
 
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64(row_name("doc_id", "text")))
     found = shingled(docs).select("k", "n", F.posexplode("sh").alias("p", "h"))
     hits = found.join(_small(item_sh, n_sh), "h")
     own_place = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("size")))
@@ -144,9 +159,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     met = shingled(with_keys(docs, "k", wanted.withColumnRenamed("k", "key"))).select("k", "doc_id", "sh", F.explode("laid").alias("x")).select("k", "doc_id", "x.size", "x.start", F.slice("sh", F.col("x.start") + 1, F.greatest(F.lit(1), F.col("x.size") - (WIDTH - 1))).alias("sh"))
     windows = keep(with_fingerprint(met.dropDuplicates(["k", "doc_id", "size", "start"])), "fingerprints")
 
-    keyed = windows.select("k", "doc_id", "size", "start", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)])).alias("x")).select("k", "doc_id", "size", "start", "fp", "x.*")
-    near = keyed.join(item_index(items), ["size", "block", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = near.select("k", "doc_id", "size", "start", "item_id").distinct().join(laid, ["k", "item_id", "size", "start"])
+    laid_for = windows.join(laid, ["k", "size", "start"])
+    keyed = laid_for.select("k", "doc_id", "item_id", "size", "start", "aligned", "fp", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("key")) for b in range(BLOCKS)])).alias("x")).select("k", "doc_id", "item_id", "size", "start", "aligned", "fp", "x.*")
+    index = _small(item_index(items).drop("size"), n_items * BLOCKS * 64)
+    near = keyed.join(index, ["item_id", "block", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    pairs = near.select("k", "doc_id", "size", "start", "item_id", "aligned").distinct()
 
     own = pairs.join(windows.select("k", "size", "start", "sh").dropDuplicates(["k", "size", "start"]), ["k", "size", "start"])
     left = own.select("k", "doc_id", "size", "start", "aligned", "item_id", F.size("sh").alias("total"), F.explode("sh").alias("h")).groupBy("k", "doc_id", "size", "start", "aligned", "item_id", "total", "h").agg(F.count(F.lit(1)).alias("a"))
@@ -154,15 +171,23 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     sizes = items.select("item_id", F.size("sh").alias("item_total"))
     both = left.join(_small(right, n_sh), ["item_id", "h"]).groupBy("k", "doc_id", "size", "start", "aligned", "item_id", "total").agg(F.sum(F.least("a", "b")).alias("common"))
     scored = both.join(_small(sizes, n_sh), "item_id").withColumn("similarity", F.col("common") / (F.col("total") + F.col("item_total") - F.col("common")))
+    return scored.where(F.col("similarity") >= threshold)
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, start (word), size (words), similarity: the best window of every
+    document and item with a window at ``threshold`` or more; of equal ones one that has a shared
+    shingle at the item's own place, then the first."""
     best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"), "size"))
-    return scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", (-F.col("x.back")).cast("int").alias("start"), "x.size", "x.similarity")
+    return leaking_windows(docs, items, threshold).groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", (-F.col("x.back")).cast("int").alias("start"), "x.size", "x.similarity")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without documents that hold a window of an item."""
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    bad = keep(leaks(docs, items, threshold).select(named("doc_id").alias("key")).distinct(), "leaked")
-    return without_keys(docs.withColumn("_id", named("doc_id")), "_id", bad).drop("_id")
+    """``docs`` without rows whose text holds a window of an item."""
+    (mine,) = fresh(docs, "_name")
+    named = lambda k, c: F.concat_ws(":", F.coalesce(F.col(c).cast("string"), F.lit("null")), k)
+    bad = keep(leaking_windows(docs, items, threshold).select(named(F.col("k"), "doc_id").alias("key")).distinct(), "leaked")
+    return without_keys(docs.withColumn(mine, named(F.xxhash64(row_name("doc_id", "text")), "doc_id")), mine, bad).drop(mine)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,15 @@ tokens, the first piece taking the remainder. Pieces are then placed one by one:
 with N(g) open bins of residual gap g, a piece goes where the sum of N(g)^2 over
 1 <= g < capacity becomes smallest (a new bin counts as gap ``capacity``).
 
-The rule looks at lengths only, so documents are dealt over shards by a hash and every
-shard is packed on its own: a shard leaves at most a few half-filled bins,
+The rule looks at lengths only, so rows are dealt over shards by a hash of their place in the input (ids may
+repeat) and every shard is packed on its own: a shard leaves at most a few half-filled bins,
 which are negligible against its thousands of full ones. Only (id, piece, length)
 is shuffled.
 
-Defined results: null or empty text is one piece holding just the end id; repeated
-rows are packed each on its own; an empty table gives no rows; extra columns are
-ignored; ties go to the smallest gap.
+Defined results: null or empty text is one piece holding just the end id; a very long text becomes as
+many pieces as it needs and is never held as ids of more than its own length; repeated
+rows are packed each on its own, and a third of all rows may share an id; an empty table gives no rows;
+extra columns are ignored, whatever their names; ties go to the smallest gap.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.store import keep, table
+from sluice.llm.store import fresh, keep, table
 from sluice.llm.wordbytes import pieces
 
 #: Pieces that one shard packs; bounds a task's memory.
@@ -141,7 +142,9 @@ def token_pieces(docs: DataFrame, tokenizer: tuple[str, str | None], capacity: i
 
 
 def pack(rows: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Add sequence_id and offset to rows that have doc_id, piece and length."""
+    """Add sequence_id and offset to rows that have doc_id, piece and length; other columns of these two
+    names are replaced, all others stay."""
+    rows = rows.drop("sequence_id", "offset")
     shards = max(1, -(-rows.count() // shard_pieces))
     fields = rows.schema
     names = fields.names
@@ -152,24 +155,25 @@ def pack(rows: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> Da
             return
         part = pa.Table.from_batches(held).combine_chunks()
         bin_of, offset = pack_lengths(part.column("length").to_numpy(), capacity)
-        base = part.column("_shard").to_numpy().astype(np.int64) << 32
-        part = part.drop_columns(["_shard"]).append_column("sequence_id", pa.array(base + bin_of)).append_column("offset", pa.array(offset))
+        base = part.column(mine).to_numpy().astype(np.int64) << 32
+        part = part.drop_columns([mine]).append_column("sequence_id", pa.array(base + bin_of)).append_column("offset", pa.array(offset))
         yield from part.to_batches(max_chunksize=65_536)
 
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    (mine,) = fresh(rows, "_shard")
+    dealt = rows.withColumn(mine, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     order = [F.col("length").desc(), "doc_id", "piece", *[c for c in names if c not in ("length", "doc_id", "piece")]]
     #: one partition may be dealt several shards; each is packed as a group of its own
-    grouped = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", *order)
+    grouped = dealt.repartition(shards, mine).sortWithinPartitions(mine, *order)
 
     def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shard = batch.column("_shard").to_numpy()
+            shard = batch.column(mine).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             for a, b in zip(cuts, cuts[1:]):
-                if held and held[-1].column("_shard")[0].as_py() != int(shard[a]):
+                if held and held[-1].column(mine)[0].as_py() != int(shard[a]):
                     yield from place(iter(held))
                     held = []
                 held.append(batch.slice(a, b - a))

@@ -10,7 +10,9 @@ of its links and not all pairs.
 
 Defined results: null or empty text has fingerprint zero and links like any other;
 equal fingerprints are one vertex however many rows share them; rows with a null id
-get their group's smallest id, too; an empty table gives no rows.
+get their group's smallest id, too; an empty table gives no rows. A very long text is read whole, about
+12 MB of texts (or one text) at a time. Columns other than the id and the text are ignored by the query and
+kept by ``first_of_groups``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.components import connected_components
 from sluice.llm.keys import with_keys, without_keys
-from sluice.llm.store import keep, slots, table
+from sluice.llm.store import fresh, keep, slots, table
 from sluice.llm.wordbytes import Words, pieces
 
 RADIUS = 3
@@ -219,20 +221,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def first_of_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group: its smallest (id, text hash). All columns stay."""
+    """``docs`` with one row of each group: its smallest (id, text hash). All columns stay, whatever their names."""
     name = lambda i, h: F.concat_ws(":", F.coalesce(F.col(i).cast("long").cast("string"), F.lit("null")), h)
+    (mine,) = fresh(docs, "_place")
     got = _grouped(docs, radius, id_col).select("doc_id", "h", "root")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "h")
     rows = got.groupBy("doc_id", "h", "root").agg(F.count(F.lit(1)).alias("n"))
     least = rows.groupBy("root").agg(F.min(place).alias("least"))
     rows = keep(rows.join(least, "root").select(name("doc_id", "h").alias("key"), (place == F.col("least")).alias("stays"), "n"), "places")
-    keyed = docs.withColumn("_place", name(id_col, F.xxhash64("text")))
-    kept = without_keys(keyed, "_place", rows.where("not stays").select("key"))
+    keyed = docs.withColumn(mine, name(id_col, F.xxhash64("text")))
+    kept = without_keys(keyed, mine, rows.where("not stays").select("key"))
     #: of rows that are repeated as they are, one stays; others are not shuffled for that
     repeated = rows.where("stays and n > 1").select("key")
     if repeated.limit(1).count():
-        kept = without_keys(kept, "_place", repeated).unionAll(with_keys(kept, "_place", repeated).dropDuplicates(["_place"]))
-    return kept.drop("_place")
+        kept = without_keys(kept, mine, repeated).unionAll(with_keys(kept, mine, repeated).dropDuplicates([mine]))
+    return kept.drop(mine)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none a local master gets a temporary folder; on a cluster
+    executors would each write to their own disk, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -32,6 +36,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Helper column names like ``names`` that no column of ``df`` has (Spark folds case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_name(id_col, text_col):
+    """A string that names a row: its id and its text's hash. Null ids are told apart by text."""
+    number = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return F.concat_ws(":", number, F.xxhash64(F.col(text_col).cast("string")).cast("string"))
+
+
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,9 @@ collections whose members are short and aligned:
 
 Defined results: null or empty text has no bytes; texts shorter than ``length`` lose
 nothing; an exact copy loses all if it has ``length`` bytes; repeated rows (same id)
-are occurrences of their own.
+are occurrences of their own; an empty table gives no rows. A very long text is read whole, about 8 MB of texts (or
+one text) at a time, and its runs are short whatever its length. Columns other than the id and the text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

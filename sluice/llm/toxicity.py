@@ -5,15 +5,15 @@ folded). The model shares one weight vector across ordered thresholds,
 P(grade <= j) = sigmoid(theta_j - w.x), and gives the expected grade as severity.
 
 Training uses about ``SAMPLE`` labelled rows at most (a parameter; a share of the ids' hashes); features are chosen from counts over that sample,
-in which equal feature sets (copies) count once. Labels grade a document 0
-(clean) or toxic; without annotated degrees a toxic row's degree is 1, or 2 if it
-holds more than the median number of toxic cues (features that lean strongly to
-toxic rows) among toxic rows with any. Scoring reads every whole text.
+in which equal feature sets (copies) count once. Grades come from the labels alone: 0 clean, 1 toxic, 2 toxic
+and of low quality (``quality`` 0); without that column, or without such rows, there are two grades. Scoring reads
+every whole text, about 12 MB of texts (or one text) at a time.
 
 Defined results: null or empty text gets the score of no features; ids without a
-document and rows with null labels don't train; with labels of one class only every
-document gets grade 0 and severity 0 if that class is clean, else 1; repeated rows are
-scored each; extra columns are ignored.
+document, rows with null labels and ids with labels that differ don't train; with labels of one class
+only every document gets grade 0 and severity 0 if that class is clean, else 1; repeated rows are
+scored each; an empty table gives no rows; extra columns are ignored by ``grade`` and kept by ``drop_toxic``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -89,51 +89,60 @@ class OrdinalModel:
         return self.probabilities(score).sum(axis=1)
 
 
+def thresholds_of(first: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """A first threshold plus positive gaps, so they stay in order."""
+    return np.concatenate([first, first + np.cumsum(np.exp(gaps))])
+
+
+def loss_and_gradients(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, params: list[np.ndarray], ridge: float) -> tuple[float, list[np.ndarray]]:
+    """Mean negative log-likelihood with its penalty, and gradients by weights, first threshold and log gaps."""
+    w, first, gaps = params
+    n, levels = len(grades), len(gaps) + 1
+    theta = thresholds_of(first, gaps)
+    score = np.bincount(rows, weights=w[cols], minlength=n)
+    edges = np.concatenate([[-np.inf], theta, [np.inf]])
+    hi, lo = edges[grades + 1] - score, edges[grades] - score
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    up, down = np.where(np.isinf(hi), 1, sigmoid(hi)), np.where(np.isinf(lo), 0, sigmoid(lo))
+    p = np.maximum(up - down, 1e-9)
+    d_up, d_down = up * (1 - up) / p, down * (1 - down) / p
+    d_score = (d_up - d_down) / n
+    d_theta = np.zeros(levels)
+    np.add.at(d_theta, np.minimum(grades, levels - 1), np.where(grades < levels, -d_up, 0) / n)
+    np.add.at(d_theta, np.maximum(grades - 1, 0), np.where(grades > 0, d_down, 0) / n)
+    tail = np.cumsum(d_theta[::-1])[::-1]
+    loss = float(-np.log(p).mean() + 0.5 * ridge * (w @ w))
+    return loss, [np.bincount(cols, weights=d_score[rows], minlength=len(w)) + ridge * w, np.array([tail[0]]), tail[1:] * np.exp(gaps)]
+
+
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, steps: int = STEPS, ridge: float = RIDGE, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by maximum penalised likelihood (Adam, full batch).
-    Thresholds are a first one plus positive gaps, so they stay in order."""
-    n, levels = len(grades), int(grades.max())
+    """Weights and thresholds by maximum penalised likelihood (Adam, full batch)."""
+    levels = int(grades.max())
     above = np.array([(grades >= j).mean() for j in range(1, levels + 1)])
     base = np.log((1 - above) / above)
-    gaps = np.log(np.maximum(np.diff(base), 1e-2))
-    w, first = np.zeros(n_features), base[0]
-    params = [w, np.array([first]), gaps]
+    params = [np.zeros(n_features), base[:1].copy(), np.log(np.maximum(np.diff(base), 1e-2))]
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for t in range(1, steps + 1):
-        w, first, gaps = params
-        theta = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        score = np.bincount(rows, weights=w[cols], minlength=n)
-        edges = np.concatenate([[-np.inf], theta, [np.inf]])
-        hi, lo = edges[grades + 1] - score, edges[grades] - score
-        up, down = np.where(np.isinf(hi), 1, sigmoid(hi)), np.where(np.isinf(lo), 0, sigmoid(lo))
-        p = np.maximum(up - down, 1e-9)
-        d_up, d_down = up * (1 - up) / p, down * (1 - down) / p
-        d_score = (d_up - d_down) / n  # of the negative log-likelihood
-        d_theta = np.zeros(levels)
-        np.add.at(d_theta, np.minimum(grades, levels - 1), np.where(grades < levels, -d_up, 0) / n)
-        np.add.at(d_theta, np.maximum(grades - 1, 0), np.where(grades > 0, d_down, 0) / n)
-        tail = np.cumsum(d_theta[::-1])[::-1]
-        grads = [np.bincount(cols, weights=d_score[rows], minlength=n_features) + ridge * w, np.array([tail[0]]), tail[1:] * np.exp(gaps)]
+        _, grads = loss_and_gradients(rows, cols, grades, params, ridge)
         for p_, g, m in zip(params, grads, moment):
             m[0][:] = 0.9 * m[0] + 0.1 * g
             m[1][:] = 0.999 * m[1] + 0.001 * g * g
             p_ -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8)
-    w, first, gaps = params
-    return w, np.concatenate([first, first + np.cumsum(np.exp(gaps))])
+    return params[0], thresholds_of(*params[1:])
 
 
-def grades_from_labels(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, lean: np.ndarray) -> np.ndarray:
-    """0 clean, 1 toxic, 2 toxic with more cues than the median toxic row that has any."""
-    cues = np.bincount(rows, weights=(lean > np.log(8))[cols], minlength=len(toxic))
-    with_any = cues[(toxic == 1) & (cues > 0)]
-    middle = np.median(with_any) if len(with_any) else 0
-    return np.where(toxic == 1, 1 + (cues > middle) * (middle > 0), 0).astype(np.int64)
+def labelled_grades(labels: DataFrame) -> DataFrame:
+    """_id, _grade of every id whose labels agree."""
+    low = (F.col("quality") == 0) if "quality" in labels.columns else F.lit(False)
+    toxic = F.col("toxic").cast("int")
+    grade = F.when(toxic == 0, 0).when(toxic == 1, 1 + F.coalesce(low, F.lit(False)).cast("int"))
+    rows = labels.select(F.col("doc_id").alias("_id"), grade.cast("int").alias("_grade")).where("_id is not null and _grade is not null")
+    return rows.groupBy("_id").agg(F.min("_grade").alias("_grade"), F.max("_grade").alias("_most")).where("_grade = _most").drop("_most")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> OrdinalModel:
-    """docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
-    chosen = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null").dropDuplicates(["_id"])
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1) and, if there, quality (0 or 1)."""
+    chosen = labelled_grades(labels)
     n = chosen.count()
     if n > sample:
         chosen = chosen.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
@@ -145,19 +154,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
             doc, feature, names = document_features(batch.column("text"), None)
             lists = np.split(feature, np.searchsorted(doc, np.arange(1, batch.num_rows)))
             array = np.array(names, dtype=object)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_toxic"), pa.array([array[x].tolist() for x in lists], pa.list_(pa.binary()))], names=["doc_id", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_grade"), pa.array([array[x].tolist() for x in lists], pa.list_(pa.binary()))], names=["doc_id", "grade", "features"])
 
-    rows = keep(met.select("doc_id", "_toxic", "text").mapInArrow(read, "doc_id long, toxic int, features array<binary>").dropDuplicates(["doc_id"]).dropDuplicates(["features"]), "features")
-    n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows = keep(met.select("doc_id", "_grade", "text").mapInArrow(read, "doc_id long, grade int, features array<binary>").dropDuplicates(["doc_id"]).dropDuplicates(["features"]), "features")
+    toxic = (F.col("grade") > 0).cast("int")
+    n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(toxic), F.lit(0))).first()
     if bad in (0, n):
         return OrdinalModel({}, np.zeros(0), np.array([60.0 if not bad else -60.0]))
-    lean = F.log((F.col("t") + 0.5) / (F.lit(bad) + 1.0)) - F.log((F.col("a") - F.col("t") + 0.5) / (F.lit(n - bad) + 1.0))
-    counts = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a"), F.sum("toxic").alias("t")).where(F.col("a") >= LEAST_ROWS)
+    counts = rows.select(toxic.alias("toxic"), F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a"), F.sum("toxic").alias("t")).where(F.col("a") >= LEAST_ROWS)
     share_bad = bad / n
     z = F.abs(F.col("t") - F.col("a") * share_bad) / F.sqrt(F.col("a") * share_bad * (1 - share_bad))
-    ranked = counts.withColumn("lean", lean).withColumn("z", z)
+    ranked = counts.withColumn("z", z)
     bar = min(LEAST_Z, (ranked.agg(F.max("z")).first()[0] or 0.0) / 2)
-    kept = ranked.where((F.col("z") >= bar) & (F.col("z") > 1e-9)).orderBy(F.desc("z"), "f").limit(n_features).select("f", "lean").collect()
+    kept = ranked.where((F.col("z") >= bar) & (F.col("z") > 1e-9)).orderBy(F.desc("z"), "f").limit(n_features).select("f").collect()
     if not kept:  # nothing tells documents apart, so none is rejected
         return OrdinalModel({}, np.zeros(0), np.array([60.0]))
     known = {bytes(r.f): i for i, r in enumerate(kept)}
@@ -167,15 +176,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
         names = share.value
         for batch in batches:
             got = [[names[f] for f in fs if f in names] for fs in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "toxic", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "grade", "f"])
 
-    data = rows.mapInArrow(only_known, "doc_id long, toxic int, f array<int>").orderBy("doc_id").toPandas()  # sample x features at most
+    data = rows.mapInArrow(only_known, "doc_id long, grade int, f array<int>").orderBy("doc_id").toPandas()  # sample x features at most
     sizes = data.f.map(len).to_numpy()
     at = np.repeat(np.arange(len(data)), sizes)
     cols = np.concatenate(data.f.to_numpy()) if sizes.sum() else np.zeros(0, np.int64)
     cols = cols.astype(np.int64)
-    toxic = data.toxic.to_numpy()
-    grades = grades_from_labels(at, cols, toxic, np.array([r.lean for r in kept]))
+    #: grades that no row has are left out: 0 and 2 become 0 and 1
+    grades = np.unique(data.grade.to_numpy(), return_inverse=True)[1].astype(np.int64)
     w, theta = fit_ordinal(at, cols, grades, len(kept))
     return OrdinalModel(known, w, theta)
 
@@ -203,11 +212,10 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = share.value
-        for batch in batches:
-            if batch.num_rows:
-                doc, feature, _ = document_features(batch.column(at), m.features)
-                score = np.bincount(doc, weights=m.weights[feature], minlength=batch.num_rows)
-                yield batch.filter(pa.array(m.probabilities(score)[:, 0] < reject))
+        for batch in pieces(batches, at):
+            doc, feature, _ = document_features(batch.column(at), m.features)
+            score = np.bincount(doc, weights=m.weights[feature], minlength=batch.num_rows)
+            yield batch.filter(pa.array(m.probabilities(score)[:, 0] < reject))
 
     return docs.mapInArrow(run, docs.schema)
 

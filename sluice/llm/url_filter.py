@@ -7,17 +7,20 @@ listed if the first level that rejects it has an odd number (or all accept and t
 number of levels is odd). Judging needs no join: only the cascade's bits travel.
 
 Bits are set in partial bitmaps, one row per 64-bit word and partition, and or-ed by a
-partially aggregated group. The cascade is broadcast only while its bits stay under
-``MAX_BITS``; a longer list is parted by a key hash into shards of that size, and keys
-are judged beside their shard's cascade.
+partially aggregated group. The cascade is broadcast only while each level's bits stay under
+``MAX_BITS``; for a longer list, or a universe whose false positives need more, keys are parted by a hash into
+shards, and judged beside their shard's cascade.
 
 Defined results: a null url, or one without ``://``, has empty host and path, matches
-no rule and is not listed (allow); keys are compared as lower-cased strings; repeated urls
-are judged each; an empty list allows all that no rule blocks.
+no rule and is not listed (allow); keys are compared as lower-cased strings; very long urls are read
+whole; repeated urls are judged each; an empty list allows all that no rule blocks; an empty table gives no
+rows. ``split_url`` and ``judge`` replace columns named like those they add (host, path, listed, rule, verdict);
+all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from sluice.llm.store import keep, table
+from sluice.llm.store import fresh, keep, table
 
 #: Bits of one broadcast cascade at most (16 MB), and bits per encoded key.
 MAX_BITS = 1 << 27
@@ -37,18 +40,16 @@ HASHES = 5
 
 #: Fixed rules of the query: (verdict, rule).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Labels whose registered hosts make the query's block list.
-LISTED_LABELS = ("spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets", "ads-track")
-
 
 def split_url(rows: DataFrame, url_col: str = "url") -> DataFrame:
     """Add host and path."""
-    at = F.instr("_url", "://")
-    rows = rows.withColumn("_url", F.col(url_col)).withColumn("_rest", F.when(at > 0, F.substr("_url", at + 3)).otherwise(F.lit("")))
-    host = F.regexp_extract("_rest", r"^[^/?#]*", 0)
-    path = F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1)
+    (rest,) = fresh(rows, "_rest")
+    at = F.instr(F.col(url_col), "://")
+    rows = rows.withColumn(rest, F.when(at > 0, F.substr(F.col(url_col), at + 3)).otherwise(F.lit("")))
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return rows.withColumn("host", F.coalesce(lower, F.lit(""))).withColumn("path", F.coalesce(path, F.lit(""))).drop("_url", "_rest")
+    return rows.withColumn("host", F.coalesce(lower, F.lit(""))).withColumn("path", F.coalesce(path, F.lit(""))).drop(rest)
 
 
 def rule_of(rules) -> tuple[Column, Column]:
@@ -97,11 +98,15 @@ def _encode(keys: DataFrame, level: int, bits: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value.view(np.int64))], names=["w", "bits"])
 
     out = np.zeros(bits // 64, dtype=np.int64)
-    for row in keys.mapInArrow(set_bits, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[row.w] = row.bits
+    got = keys.mapInArrow(set_bits, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()  # MAX_BITS / 64 rows at most
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
+class TooLarge(Exception):
+    """A level needs more than MAX_BITS: part the keys by a hash."""
+
+
 class Cascade:
     """Levels of bitmaps; ``listed(keys)`` judges a batch."""
 
@@ -109,29 +114,29 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, most_levels: int = 60) -> Cascade:
+    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
         """listed and universe: a column ``key``; listed keys outside the universe don't matter."""
         universe = keep(universe.where("key is not null").select("key").distinct(), "universe")
         inside = keep(listed.select("key").distinct().join(universe, "key", "left_semi"), "listed")
         now, rest = inside, universe.join(inside, "key", "left_anti")
         levels: list[np.ndarray] = []
-        for level in range(most_levels):
+        for level in itertools.count():  # every level leaves about a hundredth of its keys
             n = now.count()
             if not n:
                 return cls(levels)
             bits = _bits_for(n)
             if bits > MAX_BITS:
-                raise OverflowError("part the list by a key hash first")
+                raise TooLarge(bits)
             words = _encode(now, level, bits)
             levels.append(words)
+            share = universe.sparkSession.sparkContext.broadcast(words)  # MAX_BITS at most
 
-            def wrong(batches: Iterator[pa.RecordBatch], words=words, level=level) -> Iterator[pa.RecordBatch]:
+            def wrong(batches: Iterator[pa.RecordBatch], share=share, level=level) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     if batch.num_rows:
-                        yield batch.filter(pa.array(holds(words, _keys(batch.column("key")), level)))
+                        yield batch.filter(pa.array(holds(share.value, _keys(batch.column("key")), level)))
 
             now, rest = keep(rest.mapInArrow(wrong, "key string"), f"wrong{level}"), now
-        raise RuntimeError("the cascade did not end")
 
     @property
     def bits(self) -> int:
@@ -151,8 +156,8 @@ class Cascade:
 
 
 def shards_for(n: int) -> int:
-    """Parts of a list so that one part's cascade, all levels, stays under MAX_BITS."""
-    return max(1, math.ceil(4 * n * BITS_PER_KEY / MAX_BITS))
+    """Parts of a list so that one part's cascade stays well under MAX_BITS."""
+    return max(1, math.ceil(2 * n * BITS_PER_KEY / MAX_BITS))
 
 
 def _mark(rows: DataFrame, key: str, cascade: Cascade) -> DataFrame:
@@ -171,10 +176,20 @@ def _mark(rows: DataFrame, key: str, cascade: Cascade) -> DataFrame:
 
 
 def mark_listed(rows: DataFrame, key: str, listed: DataFrame, shards: int | None = None) -> DataFrame:
-    """Add ``listed`` (boolean) to rows: whether a row's ``key`` is among ``listed.key``."""
+    """Add ``listed`` (boolean) to rows: whether a row's ``key`` is among ``listed.key``. Where a shard's level
+    grows beyond MAX_BITS all is dealt over twice as many shards."""
     rows = rows.drop("listed")
     keys = rows.select(F.col(key).alias("key")).where("key <> ''")
+    listed = keep(listed.select("key").distinct(), "list")
     n = shards or shards_for(listed.count())
+    while True:
+        try:
+            return _in_shards(rows, key, keys, listed, n)
+        except TooLarge:
+            n *= 2
+
+
+def _in_shards(rows: DataFrame, key: str, keys: DataFrame, listed: DataFrame, n: int) -> DataFrame:
     if n == 1:
         return _mark(rows, key, Cascade.build(listed, keys))
     part = lambda c: F.pmod(F.xxhash64(F.lit("shard"), c), F.lit(n))
@@ -194,15 +209,18 @@ def judge(pages: DataFrame, rules, listed: DataFrame, url_col: str = "url") -> D
     return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
 
 
-def listed_hosts(pages: DataFrame) -> DataFrame:
-    """The query's list: hosts of the corpus with a label that is known for spam."""
-    labels = F.split("host", r"\.")
-    return split_url(pages.select("url")).where(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED_LABELS)))).select(F.col("host").alias("key")).distinct()
+def listed_hosts(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """The query's list, from labelled data: hosts whose labelled pages are toxic more often than all
+    labelled pages are. pages: page_id, url; labels: doc_id (a page's id), toxic."""
+    marked = split_url(pages.select("page_id", "url")).join(labels.select(F.col("doc_id").alias("page_id"), F.col("toxic").cast("long").alias("toxic")), "page_id").where("toxic is not null and host <> ''")
+    of_host = marked.groupBy("host").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    every = of_host.agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"))
+    return of_host.join(F.broadcast(every), F.col("t") * F.col("all_n") > F.col("n") * F.col("all_t")).select(F.col("host").alias("key"))  # one row
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, RULES, listed_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, RULES, listed_hosts(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP9_SQL = """
@@ -219,11 +237,15 @@ WITH u AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM p
+), m AS (
+  SELECT host, sum(toxic) AS t, count(*) AS n FROM p JOIN labels ON page_id = doc_id WHERE toxic IS NOT NULL AND host <> '' GROUP BY host
+), listed AS (
+  SELECT host FROM m WHERE t * (SELECT sum(n) FROM m) > n * (SELECT sum(t) FROM m)
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN len(list_intersect(string_split(host, '.'), ['spam-farm', 'casino-win', 'adult-x', 'cheap-pills', 'free-bets', 'ads-track'])) > 0 THEN 'block'
+    WHEN host IN (SELECT host FROM listed) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """

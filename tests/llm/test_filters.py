@@ -126,9 +126,12 @@ URLS = ["http://Example.ORG/es/x?q#f", "https://a.example.org/en/12", "https://e
 def test_url_query_equals_sql(spark, tmp_path):
     table = pd.DataFrame({"page_id": range(len(URLS) + 2), "url": [*URLS, URLS[0], URLS[12]], "html": "x"})
     table.to_parquet(tmp_path / "pages.parquet")
+    #: two toxic labels on a host of mixed ones, one on a host that a rule allows, clean and null ones
+    pd.DataFrame({"doc_id": [12, 13, 6, 0, 18, 2, 99], "quality": 1, "toxic": pd.array([1, 0, 1, 0, 1, None, 1], dtype="Int64")}).to_parquet(tmp_path / "labels.parquet")
     got = url_filter.op9_url_filter(spark, str(tmp_path)).toPandas()
     con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    for name in ("pages", "labels"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
     want = con.execute(url_filter.OP9_SQL).df()
     same = lambda d: sorted(d.fillna("~")[["page_id", "host", "path", "rule", "verdict"]].values.tolist())
     assert same(got) == same(want)
