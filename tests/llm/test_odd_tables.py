@@ -68,7 +68,7 @@ def test_fingerprints_of_very_many_shingles(spark, monkeypatch):
 def test_labels_that_differ_do_not_train(spark):
     rows = [(1, 1, 1), (1, 0, 1), (2, 1, 0), (2, 1, 0), (3, 1, 1), (4, 0, 0), (5, None, 1), (None, 1, 1), (6, 1, None)]
     got = toxicity.labelled_grades(spark.createDataFrame(rows, "doc_id long, toxic int, quality int"))
-    assert sorted((r._id, r._grade) for r in got.collect()) == [(2, 2), (3, 1), (4, 0), (6, 1)]
+    assert sorted((r._id, r._grade) for r in got.collect()) == [(2, 1), (3, 2), (4, 0), (6, 1)]
 
 
 def test_gradients_equal_differences():
@@ -103,7 +103,7 @@ def test_grades_of_the_query_equal_a_dense_model(spark):
     """Every text scored by the trained weights, one by one, with a plain splitter."""
     rows = [(i, " ".join(["vile " * (i % 3 == 0), "rotten " * (i % 6 == 0), "kind", chr(97 + i % 26)])) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 6 != 0)) for i in range(120)], "doc_id long, toxic int, quality int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 6 == 0)) for i in range(120)], "doc_id long, toxic int, quality int")
     model = toxicity.train(docs, labels)
     assert len(model.thresholds) == 2 and (np.diff(model.thresholds) > 0).all()
     got = {r.doc_id: r for r in toxicity.grade(docs, model).collect()}
