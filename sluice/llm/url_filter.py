@@ -213,9 +213,9 @@ def listed_hosts(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """The query's list, from labelled data: hosts whose labelled pages are toxic more often than all
     labelled pages are. pages: page_id, url; labels: doc_id (a page's id), toxic."""
     marked = split_url(pages.select("page_id", "url")).join(labels.select(F.col("doc_id").alias("page_id"), F.col("toxic").cast("long").alias("toxic")), "page_id").where("toxic is not null and host <> ''")
-    of_host = marked.groupBy("host").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    every = of_host.agg(F.sum("t").alias("all_t"), F.sum("n").alias("all_n"))
-    return of_host.join(F.broadcast(every), F.col("t") * F.col("all_n") > F.col("n") * F.col("all_t")).select(F.col("host").alias("key"))  # one row
+    of_host = keep(marked.groupBy("host").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "hosts")
+    all_t, all_n = of_host.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return of_host.where(F.col("t") * F.lit(all_n) > F.col("n") * F.lit(all_t)).select(F.col("host").alias("key"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
