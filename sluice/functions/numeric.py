@@ -141,3 +141,23 @@ def ancestral(sigma: Column, sigma_next: Column, eta: float) -> tuple[Column, Co
 
 def log_aspect_distance(w: Column, h: Column, bw: Column, bh: Column) -> Column:
     return F.abs(F.log(w / h) - F.log(bw / bh))
+
+
+def crop_risks(w: Column, h: Column, tw: int, th: int) -> dict[str, Column]:
+    """A centred crop that covers tw x th: scaled size, offsets, share of the picture kept, and what may go wrong."""
+    scale = F.greatest(tw / w, th / h)
+    sw, sh = (F.greatest(F.lit(to), F.rint(c * scale).cast("long")) for to, c in ((tw, w), (th, h)))
+    kept = float(tw * th) / (sw * sh)
+    wide = tw / th
+    return {
+        "sw": sw,
+        "sh": sh,
+        "top": F.floor((sh - th) / 2),
+        "left": F.floor((sw - tw) / 2),
+        "retained": F.round(kept, 6),
+        "severe": kept < 0.7,
+        "vertical": sh > th,
+        "horizontal": sw > tw,
+        "square_to_wide": (F.abs(w / h - 1.0) <= 0.05) & F.lit(wide > 1.5),
+        "portrait_to_wide": (w < h) & F.lit(wide > 1),
+    }

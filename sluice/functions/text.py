@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Openings that captioning models put before the caption, tried in this order.
-CAPTION_OPENINGS = (
-    "The video shows ",
-    "The video depicts ",
-    "The video features ",
-    "The image shows ",
-    "This video shows ",
-    "In this video, ",
-)
+#: Openings that captioning models put before the caption, tried in this order: phrases first,
+#: then every subject with every verb.
+OPENING_PHRASES = ("In the video,", "In this video,", "In this video clip,", "In the clip,", "Caption:")
+OPENING_SUBJECTS = ("This video", "The video", "This clip", "The clip", "The animation", "This image", "The image", "This picture", "The picture")
+OPENING_VERBS = ("shows", "depicts", "features", "captures", "highlights", "introduces", "presents")
+CAPTION_OPENINGS = (*OPENING_PHRASES, *(f"{s} {v}" for s in OPENING_SUBJECTS for v in OPENING_VERBS))
 
 
 def path_list(s: Column) -> Column:
@@ -35,7 +32,7 @@ def strip_opening(s: Column, openings: tuple[str, ...] = CAPTION_OPENINGS) -> Co
 
 def clean_typography(s: Column) -> Column:
     """Plain quotes, dashes and spaces; leading non-letters go unless nothing would be left."""
-    plain = F.translate(s, "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- ")
+    plain = F.translate(s, "\u2018\u2019\u201c\u201d\u2014\u2013\u00a0\u2032\u2212", "''\"\"-- '-")
     bare = F.regexp_replace(plain, r"^[^\p{L}]+", "")
     return F.when(bare == "", plain).otherwise(bare)
 
@@ -84,3 +81,37 @@ def with_trigger(trigger: str, s: Column) -> Column:
 
 def words(s: Column) -> Column:
     return F.regexp_count(s, F.lit(r"\S+"))
+
+
+def prompt(task: Column, leads: dict[str, str], other: str, s: Column) -> Column:
+    """A text behind the lead of its task."""
+    lead = F.element_at(F.create_map(*[F.lit(x) for pair in leads.items() for x in pair]), task)
+    return F.concat(F.coalesce(lead, F.lit(other)), s)
+
+
+def buckets(s: Column) -> Column:
+    """WxHxF;WxHxF;... as an array of (w, h, f)."""
+    one = lambda b: F.struct(*[F.get(F.split(b, "x"), i).cast("int").alias(n) for i, n in enumerate("whf")])
+    return F.transform(F.filter(F.split(s, ";"), lambda b: F.trim(b) != ""), one)
+
+
+def stem(path: Column) -> Column:
+    """A path's last part without its suffix."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+def comma_list(s: Column) -> Column:
+    return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """Keys of both maps; the right one's values win."""
+    kept = F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k))
+    return F.map_concat(kept, right)
+
+
+def output_path(path: Column, root: str, out: str, suffix: str) -> Column:
+    """Where an input's output goes: below ``out`` as the input lies below ``root``, or by its whole path."""
+    inside = path.startswith(root.rstrip("/") + "/")
+    rel = F.when(inside, F.substr(path, F.lit(len(root.rstrip("/")) + 2))).otherwise(F.ltrim(path, F.lit("/")))
+    return F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace(rel, r"\.[^./]*$", ""), F.lit(suffix))

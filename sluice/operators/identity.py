@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stands for null in hashed fields; joined by a separator that texts don't hold.
-NULL_MARK, SEPARATOR = "\\N", "\x1f"
+from sluice.session import kept
 
 
-def content_key(*fields: str | Column) -> Column:
-    """SHA-256 over string and integer fields; nulls are marked, so fields never shift."""
-    parts = [F.coalesce(F.col(f).cast("string") if isinstance(f, str) else f.cast("string"), F.lit(NULL_MARK)) for f in fields]
-    return F.sha2(F.concat_ws(SEPARATOR, *parts), 256)
+def canonical_json(**fields: Column) -> Column:
+    """Compact JSON of fields in order of their names; nulls stay, so no two rows share a text."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def content_key(*fields: str | Column, **named: Column) -> Column:
+    """SHA-256 over the canonical JSON of fields: columns by their names, expressions by keyword (or by place)."""
+    plain = {f: F.col(f) for f in fields if isinstance(f, str)}
+    placed = {f"f{i}": f for i, f in enumerate(fields) if not isinstance(f, str)}
+    return F.sha2(canonical_json(**plain, **placed, **named), 256)
 
 
 def external_key(dataset: Column, record: Column) -> Column:
@@ -44,10 +49,10 @@ def with_row_index(df: DataFrame, order: list[str], column: str = "row_index") -
     """A 0-based position by ``order`` without one task for all rows: rows are ranged, counted
     per range, and each range's offset (one number per partition) is joined back.
 
-    The ranged rows are persisted, so both uses see the same ranges."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    The ranged rows are kept in the shared folder: both uses see the same ranges, and a lost executor costs only
+    its running tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_start"))  # a row per partition
     return ranged.join(F.broadcast(starts), "_pid").withColumn(column, F.col("_start") + F.col("_at")).drop("_pid", "_at", "_start")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.session import kept
+
 
 class PathPolicy:
     """Roots that may be written or read; denied roots win. Paths are compared by parts."""
@@ -33,11 +36,12 @@ def without_internal(df: DataFrame, prefix: str = "_build_") -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, order: list[str], reason: str = "reason", policy: PathPolicy | None = None) -> dict[str, str]:
-    """Accepted and rejected rows, each ordered within its files, under path/accepted and
-    path/rejected; a summary by reason is written last, so its presence marks a complete publish."""
+    """Accepted and rejected rows, each ordered within its files, in a new folder under ``path``; a summary by
+    reason is written last, so its presence marks a complete publish and generations never mix."""
     if policy:
         policy.check(path)
-    base = path.rstrip("/")
+    base = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    df = kept(df, "publish")
     accepted, rejected = df.where(F.col(reason).isNull()).drop(reason), df.where(F.col(reason).isNotNull())
     without_internal(accepted.sortWithinPartitions(*order)).write.mode("overwrite").parquet(f"{base}/accepted")
     rejected.sortWithinPartitions(*order).write.mode("overwrite").json(f"{base}/rejected")
@@ -46,6 +50,13 @@ def publish(df: DataFrame, path: str, order: list[str], reason: str = "reason",
     return {k: f"{base}/{k}" for k in ("accepted", "rejected", "summary")}
 
 
+def hashed_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, size, sha256 of every data file under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where(~name.rlike("^[._]")).select(name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)

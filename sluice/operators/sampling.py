@@ -42,7 +42,10 @@ def stride_walk(n: int, seed: str) -> tuple[int, int]:
 
 def walk_position(row_index: Column, n: int, seed: str) -> Column:
     """The place of a row in the walk: the inverse of start + pos * stride mod n."""
-    start, stride = stride_walk(n, seed)
+    return place_in_walk(row_index, n, *stride_walk(n, seed))
+
+
+def place_in_walk(row_index: Column, n: int, start: int, stride: int) -> Column:
     inverse = pow(stride, -1, n) if n > 1 else 0
     return F.pmod((row_index - start) * inverse, F.lit(max(n, 1)))
 

@@ -71,8 +71,8 @@ def retained(checkpoints: DataFrame, path: str, keep: int, loaded: str | None =
     rows = checkpoints.withColumn("step", F.coalesce(step, F.lit(-1)))
     mine = F.col(path) == F.lit(loaded) if loaded else F.lit(False)
     one = rows.withColumn("_r", F.row_number().over(Window.partitionBy("step").orderBy(mine.desc(), F.col(path)))).where("_r = 1")
-    rank = F.row_number().over(Window.orderBy(F.desc("step")))  # a row per checkpoint
-    return one.withColumn("_n", rank).where((F.col("_n") <= keep) | mine).drop("_r", "_n")
+    one = one.drop("_r")
+    return one.orderBy(F.desc("step")).limit(keep).unionByName(one.where(mine)).dropDuplicates([path])
 
 
 def complete(artifacts: Column) -> Column:

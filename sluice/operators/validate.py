@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.text import is_absolute, safe_id
 from sluice.operators.identity import content_key
 from sluice.operators.reject import first_reason, strictly_increasing
 from sluice.operators.temporal import uniform_indices
@@ -69,3 +70,35 @@ def check_ratios(ratios: dict[str, float], names: list[str]) -> None:
         raise ValueError("ratio keys must be the dataset names")
     if any(r < 0 for r in ratios.values()) or abs(sum(ratios.values()) - 1) > 1e-6:
         raise ValueError("ratios must not be negative and must sum to 1")
+
+
+def external_reason(text: Column, references: Column, key: Column, name: Column) -> Column:
+    """Why a record from outside is not taken: text, one to four references, absolute paths, id, file name."""
+    return first_reason(
+        [
+            ("missing_text", F.coalesce(F.trim(text) == "", F.lit(True))),
+            ("reference_count_out_of_range", ~F.coalesce(F.size(references).between(1, 4), F.lit(False))),
+            ("path_not_absolute", ~F.forall(references, is_absolute)),
+            ("unsafe_id", safe_id(key).isNull()),
+            ("not_a_plain_filename", name.rlike(r"[/\\]")),
+        ]
+    )
+
+
+def bucket_fits(width: Column, height: Column, frames: Column) -> Column:
+    """Whether a bucket suits patches of 32 x 32 pixels and frames in eights after the first."""
+    return (width % 32 == 0) & (height % 32 == 0) & (frames % 8 == 1)
+
+
+def span_reason(start: Column, end: Column, frames: int = FRAMES) -> Column:
+    return F.when(end - start < frames, F.lit(f"insufficient_face_cut_span_for_{frames}"))
+
+
+#: Reasons that probing gives, by what went wrong.
+PROBE_REASONS = {"timeout": "video_probe_timeout", "crash": "video_probe_worker_crash", "closed": "probe_pool_closed", "invalid": "invalid_image", "missing_media": "missing_target"}
+
+
+def probe_reason(status: Column) -> Column:
+    """The reason for a probe's status; null stays null, an unknown status names itself."""
+    known = F.create_map(*[F.lit(x) for pair in PROBE_REASONS.items() for x in pair])
+    return F.coalesce(F.element_at(known, status), status)

@@ -57,11 +57,11 @@ def downmix_stereo(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(left, 6).alias("l"), F.round(right, 6).alias("r"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn AS p, role <> 'system' AS ok, role = 'assistant' AS img, turn - row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) AS run FROM conversations WHERE conv_id % 5 = 1),
+@query("""WITH c AS (SELECT conv_id, turn AS p, role <> 'system' AS ok, role = 'assistant' AS img, turn - row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) AS run FROM conversations),
 f AS (SELECT q.conv_id, q.p AS q_p, k.p AS k_p, q.img AND k.img AS both_img, q.ok AND k.ok AND (k.p <= q.p OR (q.img AND k.img AND q.run = k.run)) AS "full" FROM c q JOIN c k USING (conv_id))
 SELECT conv_id, q_p, k_p, "full", "full" AND ((k_p <= q_p AND q_p - k_p < 2) OR (both_img AND abs(q_p - k_p) < 2)) AS sliding FROM f""")
 def combined_visibility(t: Tables) -> DataFrame:
-    rows = t.conversations.where("conv_id % 5 = 1").select("conv_id", "turn", (F.col("role") != "system").alias("valid"), (F.col("role") == "assistant").alias("image"))
+    rows = t.conversations.select("conv_id", "turn", (F.col("role") != "system").alias("valid"), (F.col("role") == "assistant").alias("image"))
     return K.visibility(rows, "conv_id", "turn", "valid", "image", 2)
 
 
@@ -77,10 +77,10 @@ def conditioned_tokens(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.round(x, 6).alias("x"), F.round(ts, 6).alias("ts"), loss.alias("in_loss"))
 
 
-@query("""SELECT path, step FROM (SELECT *, row_number() OVER (ORDER BY step DESC) AS n FROM (SELECT 'ckpt/model_' || o_orderkey || '.bin' AS path, o_orderkey AS step FROM orders WHERE o_orderkey % 100 = 7)) WHERE n <= 3 OR path = 'ckpt/model_107.bin'""")
+@query("""SELECT path, step FROM (SELECT *, row_number() OVER (ORDER BY step DESC) AS n FROM (SELECT 'ckpt/model_' || o_orderkey || '.bin' AS path, o_orderkey AS step FROM orders)) WHERE n <= 3 OR path = 'ckpt/model_7.bin'""")
 def checkpoint_retention(t: Tables) -> DataFrame:
-    paths = t.orders.where("o_orderkey % 100 = 7").select(F.concat(F.lit("ckpt/model_"), "o_orderkey", F.lit(".bin")).alias("path"))
-    return K.retained(paths, "path", 3, "ckpt/model_107.bin").select("path", "step")
+    paths = t.orders.select(F.concat(F.lit("ckpt/model_"), "o_orderkey", F.lit(".bin")).alias("path"))
+    return K.retained(paths, "path", 3, "ckpt/model_7.bin").select("path", "step")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 3000 THEN 'caption_too_long' WHEN n_chars % 6 NOT BETWEEN 1 AND 4 THEN 'reference_count_out_of_range' WHEN n_chars % 6 = 4 THEN 'reference_aliases_target' END AS reason FROM documents")

@@ -9,13 +9,13 @@ from sluice.operators.identity import collisions, content_key, dedup, external_k
 from sluice.plans.catalog import Tables, query
 
 
-@query(r"SELECT doc_id, sha256(concat_ws(chr(31), coalesce(source, '\N'), coalesce(lang, '\N'), coalesce(text, '\N'), coalesce(n_chars::VARCHAR, '\N'))) AS sample_key FROM documents")
+@query("SELECT doc_id, sha256(to_json({'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})::VARCHAR) AS sample_key FROM documents")
 def sample_key(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", content_key("source", "lang", "text", "n_chars").alias("sample_key"))
 
 
-@query(r"""SELECT doc_id, plan_hash, plan_hash = sha256(concat_ws(chr(31), source, lang, n_chars::VARCHAR)) AS valid FROM (
-  SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, sha256(concat_ws(chr(31), source, lang, n_chars::VARCHAR)) AS plan_hash FROM documents)""")
+@query(r"""SELECT doc_id, plan_hash, plan_hash = sha256(to_json({'lang': lang, 'n_chars': n_chars, 'source': source})::VARCHAR) AS valid FROM (
+  SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, sha256(to_json({'lang': lang, 'n_chars': n_chars, 'source': source})::VARCHAR) AS plan_hash FROM documents)""")
 def plan_hash_verify(t: Tables) -> DataFrame:
     """A stored hash against one recomputed after every tenth row was changed."""
     stored = t.documents.withColumn("plan_hash", content_key("source", "lang", "n_chars"))

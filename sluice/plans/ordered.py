@@ -31,9 +31,9 @@ def right_pad_order(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.row_number().over(w).alias("pos"))
 
 
-@query("SELECT user_id, bool_and(coalesce(value > p, true)) AS increasing, count(*) AS n FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_id % 5 = 0) GROUP BY user_id")
+@query("SELECT user_id, bool_and(coalesce(value > p, true)) AS increasing, count(*) AS n FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY user_id")
 def adjacent_increasing_check(t: Tables) -> DataFrame:
-    rows = t.events.where("event_id % 5 = 0").withColumn("p", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id")))
+    rows = t.events.withColumn("p", F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id")))
     return rows.groupBy("user_id").agg(F.bool_and(F.coalesce(F.col("value") > F.col("p"), F.lit(True))).alias("increasing"), F.count(F.lit(1)).alias("n"))
 
 
@@ -47,15 +47,12 @@ def progress_rate_eta(t: Tables) -> DataFrame:
     return hours.select("h", "n", F.round(F.coalesce(F.col("n") - F.lag("n").over(w), F.lit(0)) / 3600.0, 6).alias("delta_rate"), F.round(F.sum("n").over(w) / (3600.0 * F.row_number().over(w)), 6).alias("mean_rate"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE value IS NOT NULL AND user_id % 10 = 3),
-r AS (SELECT user_id, i, value AS avg FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, 0.5 * r.avg + o.value FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
-SELECT user_id, round(arg_max(avg, i), 4) AS momentum FROM r GROUP BY user_id""")
+@query("""SELECT user_id, round(sum(value * pow(0.5::DOUBLE, age)), 4) AS momentum FROM (
+  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS age FROM events WHERE value IS NOT NULL) GROUP BY user_id""")
 def ema_fold(t: Tables) -> DataFrame:
-    """The recurrence avg = avg / 2 + x over each user's events in order. Its weights halve, so
-    beyond 1,000 steps back they vanish in double precision: the last 1,100 events suffice
-    and no list grows with the input."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    rows = t.events.where("value is not null and user_id % 10 = 3").withColumn("age", F.row_number().over(w) - 1).where("age < 1100")
+    """The recurrence avg = avg / 2 + x over each user's events in order, as weights that halve with age."""
+    age = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))) - 1
+    rows = t.events.where("value is not null").withColumn("age", age)
     return rows.groupBy("user_id").agg(F.round(F.sum(F.col("value") * F.pow(F.lit(0.5), F.col("age"))), 4).alias("momentum"))
 
 

@@ -17,10 +17,10 @@ def category_draw(t: Tables) -> DataFrame:
 
 
 @query("""SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_sort(list_transform(range(len(w)), lambda i: {'h': sha256(concat_ws('|', doc_id::VARCHAR, '17', i::VARCHAR, w[i + 1])), 'i': i, 'x': w[i + 1]}))[1:3], lambda s: {'i': s.i, 'x': s.x})), lambda s: s.x), ' ') AS picked
-FROM (SELECT doc_id, string_split(text, ' ')[1:40] AS w FROM documents)""")
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""")
 def seeded_array_topk(t: Tables) -> DataFrame:
-    """Three of a row's first 40 words by hashed score, in their order (the cut is the feature's input)."""
-    words = t.documents.select("doc_id", F.slice(F.split("text", " "), 1, 40).alias("w"))
+    """Three of a row's words by hashed score, in their order."""
+    words = t.documents.select("doc_id", F.split("text", " ").alias("w"))
     scored = F.transform("w", lambda x, i: F.struct(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("17"), i.cast("string"), x), 256).alias("h"), i.alias("i"), x.alias("x")))
     best = F.slice(F.array_sort(scored), 1, 3)
     again = F.array_sort(F.transform(best, lambda s: F.struct(s.i.alias("i"), s.x.alias("x"))))
@@ -72,10 +72,10 @@ def epoch_stream_blocks(t: Tables) -> DataFrame:
 
 
 @query("""SELECT vec_id, i::INT AS i, x FROM (SELECT vec_id, i, x, row_number() OVER (PARTITION BY vec_id ORDER BY sha256('keep:' || vec_id || ':' || i), i) AS r FROM (
-  SELECT vec_id, unnest(range(len(embedding))) AS i, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings WHERE vec_id % 10 = 0)) WHERE r <= 16""")
+  SELECT vec_id, unnest(range(len(embedding))) AS i, round(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings)) WHERE r <= 16""")
 def keep_mask_topk_per_group(t: Tables) -> DataFrame:
     """Exactly 16 of each vector's places, by hashed score."""
-    rows = t.embeddings.where("vec_id % 10 = 0").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    rows = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x"))
     rows = rows.select("vec_id", "i", F.round(F.col("x").cast("double"), 6).alias("x"), hash_order("keep", "vec_id", "i").alias("h"))
     return first_k(rows, ["vec_id"], ["h", "i"], 16).select("vec_id", "i", "x")
 

@@ -62,9 +62,9 @@ def split_by_count(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p_partkey, i, round(least(CASE WHEN i < 3 THEN (i + 1) / 4.0 ELSE 1.0 END, CASE WHEN i >= p_size - 3 THEN (p_size - i) / 4.0 ELSE 1.0 END), 6)::DOUBLE AS weight FROM (
-  SELECT p_partkey, p_size, unnest(range(p_size))::INT AS i FROM part WHERE p_partkey % 5 = 0)""")
+  SELECT p_partkey, p_size, unnest(range(p_size))::INT AS i FROM part)""")
 def blend_masks(t: Tables) -> DataFrame:
-    rows = t.part.where("p_partkey % 5 = 0").select("p_partkey", "p_size", F.explode(T.indices(F.col("p_size"))).alias("i"))
+    rows = t.part.select("p_partkey", "p_size", F.explode(T.indices(F.col("p_size"))).alias("i"))
     return rows.select("p_partkey", "i", F.round(T.trapezoid(F.col("i"), F.col("p_size"), F.lit(3), F.lit(3)), 6).alias("weight"))
 
 

@@ -10,24 +10,28 @@ from sluice.functions import text as X
 from sluice.plans.catalog import Tables, query
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(left(text, 200), ',', '|'), '|'), lambda x: trim(x, ' ')), lambda x: x <> ''), '/') AS paths FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, ',', '|'), '|'), lambda x: trim(x, ' ')), lambda x: x <> ''), '/') AS paths FROM documents")
 def path_list_parse(t: Tables) -> DataFrame:
-    """A delimited list in the first 200 characters of a document (a list is short) as paths."""
-    listed = F.replace(F.substring("text", 1, 200), F.lit(","), F.lit("|"))
+    """A delimited list as paths."""
+    listed = F.replace("text", F.lit(","), F.lit("|"))
     return t.documents.select("doc_id", F.array_join(X.path_list(F.concat(F.lit("|"), listed)), "/").alias("paths"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN starts_with(s, 'The video shows ') THEN trim(substr(s, 17), ' ') WHEN starts_with(s, 'In this video, ') THEN trim(substr(s, 16), ' ') ELSE s END AS caption FROM (
-  SELECT conv_id, turn, trim(CASE WHEN turn % 3 = 0 THEN ' The video shows ' WHEN turn % 3 = 1 THEN 'In this video, ' ELSE '' END || text, ' ') AS s FROM conversations)""")
+_LEADS = ("In the video, ", "In this video clip, ", "Caption: ", "The clip captures ", "This picture presents ", "The animation highlights", "In the video, The clip shows ", "The Video shows ", "")
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(trim(lead || text, ' '), '^(In the video,|In this video,|In this video clip,|In the clip,|Caption:|(This video|The video|This clip|The clip|The animation|This image|The image|This picture|The picture) (shows|depicts|features|captures|highlights|introduces|presents))', ''), ' ') AS caption
+FROM (SELECT *, ['In the video, ', 'In this video clip, ', 'Caption: ', 'The clip captures ', 'This picture presents ', 'The animation highlights', 'In the video, The clip shows ', 'The Video shows ', ''][turn % 9 + 1] AS lead FROM conversations)""")
 def strip_llm_prefix(t: Tables) -> DataFrame:
-    lead = F.when(F.col("turn") % 3 == 0, " The video shows ").when(F.col("turn") % 3 == 1, "In this video, ").otherwise("")
+    """One opening goes, the first that fits; a second one stays."""
+    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("turn") % len(_LEADS) + 1).cast("int"))
     return t.conversations.select("conv_id", "turn", X.strip_opening(F.concat(lead, "text")).alias("caption"))
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN b = '' THEN p ELSE b END AS clean FROM (SELECT conv_id, turn, p, regexp_replace(p, '^[^\p{L}]+', '') AS b FROM (
-  SELECT conv_id, turn, translate('12) ' || chr(8220) || text || chr(8221) || chr(8212), chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(8212) || chr(160), '''''""-- ') AS p FROM conversations))""")
+  SELECT conv_id, turn, translate('12' || chr(8242) || ') ' || chr(8220) || text || chr(8221) || chr(8212) || chr(8722), chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8212) || chr(8211) || chr(160) || chr(8242) || chr(8722), '''''""-- ''-') AS p FROM conversations))""")
 def clean_typography(t: Tables) -> DataFrame:
-    dressed = F.concat(F.lit("12) \u201c"), F.col("text"), F.lit("\u201d\u2014"))
+    dressed = F.concat(F.lit("12\u2032) \u201c"), F.col("text"), F.lit("\u201d\u2014\u2212"))
     return t.conversations.select("conv_id", "turn", X.clean_typography(dressed).alias("clean"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sluice.plans import arrays, extended, identity, joins, manifest, ordered, profile, sampling, sequences, streams, temporal, text
+from sluice.plans import arrays, checks, extended, fields, files, identity, joins, latents, manifest, ordered, positions, profile, sampling, sequences, streams, temporal, text
 from sluice.plans.catalog import ORACLE_SQL, QUERIES
 
-MODULES = (arrays, extended, identity, joins, manifest, ordered, profile, sampling, sequences, streams, temporal, text)
+MODULES = (arrays, checks, extended, fields, files, identity, joins, latents, manifest, ordered, positions, profile, sampling, sequences, streams, temporal, text)
 
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]

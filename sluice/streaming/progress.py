@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.session import shared_dir
+
 
 def first_wins(stream: DataFrame, key: list[str], watermark: tuple[str, str] | None = None) -> DataFrame:
     """The first row seen of each key. Without a watermark state grows with the keys; with
@@ -30,8 +31,7 @@ def run_once(spark: SparkSession, directory: str, name: str, plan: Callable[[Dat
 
     Offsets and state go to the shared checkpoint folder; append results to parquet beside
     them, complete results (a row per group) to a batch table through foreachBatch."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sluice-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(directory)
     out = f"{base}/out"
