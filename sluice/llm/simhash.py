@@ -225,10 +225,11 @@ def first_of_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     name = lambda i, h: F.concat_ws(":", F.coalesce(F.col(i).cast("long").cast("string"), F.lit("null")), h)
     (mine,) = fresh(docs, "_place")
     got = _grouped(docs, radius, id_col).select("doc_id", "h", "root")
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "h")
-    rows = got.groupBy("doc_id", "h", "root").agg(F.count(F.lit(1)).alias("n"))
-    least = rows.groupBy("root").agg(F.min(place).alias("least"))
-    rows = keep(rows.join(least, "root").select(name("doc_id", "h").alias("key"), (place == F.col("least")).alias("stays"), "n"), "places")
+    rows = got.groupBy("doc_id", "h", "root").agg(F.count(F.lit(1)).alias("n")).withColumn("key", name("doc_id", "h"))
+    #: a group's smallest is a partial minimum and meets rows by their own names, so no row meets its group
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "h", "key")
+    stay = rows.groupBy("root").agg(F.min(place).alias("least")).select("least.key", F.lit(True).alias("stays"))
+    rows = keep(rows.select("key", "n").join(stay, "key", "left").select("key", F.coalesce("stays", F.lit(False)).alias("stays"), "n"), "places")
     keyed = docs.withColumn(mine, name(id_col, F.xxhash64("text")))
     kept = without_keys(keyed, mine, rows.where("not stays").select("key"))
     #: of rows that are repeated as they are, one stays; others are not shuffled for that
