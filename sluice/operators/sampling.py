@@ -58,15 +58,20 @@ def first_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
 def stratified(df: DataFrame, by: list[str], stratum: str, position: str, k: int, strata: int = 4) -> DataFrame:
     """k rows of each group: first the earliest of each stratum 1..strata (ascending), then others
     by position. Only rows up to the stop count: the first position at which min(k, strata)
-    strata and k rows have been seen, fallbacks counted up to max(2k, 8)."""
-    w = Window.partitionBy(*by).orderBy(position)
-    seen = df.where(F.col(stratum).between(1, strata)).withColumn("_seen", F.row_number().over(w)).withColumn("_kinds", F.size(F.collect_set(stratum).over(w)))
-    done = (F.col("_kinds") >= min(k, strata)) & (F.least(F.col("_seen"), F.lit(max(2 * k, 8))) >= k)
-    stop = F.min(F.when(done, F.col("_seen"))).over(Window.partitionBy(*by))
-    near = seen.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("_seen") <= F.col("_stop")))
-    first = F.row_number().over(Window.partitionBy(*by, stratum).orderBy(position)) == 1
-    rank = Window.partitionBy(*by).orderBy(F.when(F.col("_first"), F.col(stratum)).otherwise(F.lit(strata + 1)), position)
-    return near.withColumn("_first", first).withColumn("pick", F.row_number().over(rank)).where(F.col("pick") <= k).drop("_seen", "_kinds", "_stop", "_first")
+    strata and k rows have been seen. No window but the ranks' (which Spark limits before its shuffle)
+    holds more than k + 2 strata rows of a group."""
+    rows = df.where(F.col(stratum).between(1, strata))
+    #: all that can matter: the first k rows, some more to fill up with, and the first of each stratum
+    few = first_k(rows, by, [position], k + strata).unionByName(first_k(rows, [*by, stratum], [position], 1)).dropDuplicates([*by, position])
+    group = Window.partitionBy(*by)
+    few = few.withColumn("_seen", F.row_number().over(group.orderBy(position))).withColumn("_first", F.row_number().over(Window.partitionBy(*by, stratum).orderBy(position)) == 1)
+    firsts = F.sort_array(F.collect_list(F.when(F.col("_first"), F.col(position))).over(group))  # one of each stratum
+    kth = F.max(F.when(F.col("_seen") == k, F.col(position))).over(group)
+    few = few.withColumn("_kinds", F.get(firsts, min(k, strata) - 1)).withColumn("_kth", kth)
+    stop = F.when(F.col("_kinds").isNotNull() & F.col("_kth").isNotNull(), F.greatest("_kinds", "_kth"))
+    near = few.where(stop.isNull() | (F.col(position) <= stop))
+    rank = group.orderBy(F.when(F.col("_first"), F.col(stratum)).otherwise(F.lit(strata + 1)), position)
+    return near.withColumn("pick", F.row_number().over(rank)).where(F.col("pick") <= k).drop("_seen", "_kinds", "_kth", "_first")
 
 
 def apportion(shares: DataFrame, share: str, name: str, total: int) -> DataFrame:

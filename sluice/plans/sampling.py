@@ -29,9 +29,9 @@ def seeded_array_topk(t: Tables) -> DataFrame:
 
 @query("""SELECT lang, doc_id, r::INT AS pick FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('walk:' || doc_id), doc_id) AS r FROM documents WHERE n_chars > 100) WHERE r <= 4""")
 def walk_order_first_k(t: Tables) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rows = t.documents.where("n_chars > 100").withColumn("h", hash_order("walk", "doc_id"))
-    return first_k(rows.select("lang", "doc_id", "h", F.row_number().over(w).alias("pick")), ["lang"], ["h", "doc_id"], 4).select("lang", "doc_id", "pick")
+    rows = t.documents.where("n_chars > 100").select("lang", "doc_id").withColumn("h", hash_order("walk", "doc_id"))
+    few = first_k(rows, ["lang"], ["h", "doc_id"], 4)
+    return few.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")).alias("pick"))
 
 
 @query("""WITH c AS (SELECT lang, doc_id, 1 + n_chars % 5 AS refs, row_number() OVER (PARTITION BY lang ORDER BY sha256('strat:' || doc_id), doc_id) AS walk FROM documents),
@@ -43,8 +43,8 @@ p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN seen = f
 SELECT lang, doc_id, refs, pick::INT AS pick FROM p WHERE pick <= 6""")
 def stratified_select(t: Tables) -> DataFrame:
     """Six of each language: one of each reference count 1..4 first, then the walk."""
-    w = Window.partitionBy("lang").orderBy(hash_order("strat", "doc_id"), "doc_id")
-    rows = t.documents.select("lang", "doc_id", (1 + F.col("n_chars") % 5).alias("refs"), F.row_number().over(w).alias("walk"))
+    walk = F.concat_ws(":", hash_order("strat", "doc_id"), F.lpad(F.col("doc_id").cast("string"), 20, "0"))
+    rows = t.documents.select("lang", "doc_id", (1 + F.col("n_chars") % 5).alias("refs"), walk.alias("walk"))
     return stratified(rows, ["lang"], "refs", "walk", 6).select("lang", "doc_id", "refs", "pick")
 
 
