@@ -8,7 +8,7 @@ lowered by words that speak against it.
 
 Defined results: null or empty text has no spans and zero counts; offsets are code
 points, end exclusive; spans of different kinds may overlap; repeated rows are judged each; very long texts are read
-whole, about 12 MB of texts (or one text) at a time; an empty table gives no rows. Columns other than the id and
+whole, about 4 MB of texts (or one text) at a time; an empty table gives no rows. Columns other than the id and
 the text are ignored by the query and kept by ``redact``, whatever their names.
 """
 
