@@ -30,7 +30,7 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".,;:!?|")] = True
 _NEWLINE_ID = 198
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 
 class ByteBpe:

@@ -8,7 +8,7 @@ lowered by words that speak against it.
 
 Defined results: null or empty text has no spans and zero counts; offsets are code
 points, end exclusive; spans of different kinds may overlap; repeated rows are judged each; very long texts are read
-whole, about 4 MB of texts (or one text) at a time; an empty table gives no rows. Columns other than the id and
+whole, about 2 MB of texts (or one text) at a time; an empty table gives no rows. Columns other than the id and
 the text are ignored by the query and kept by ``redact``, whatever their names.
 """
 
@@ -176,7 +176,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = [t if t is None else masked(t, find_spans(t)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 

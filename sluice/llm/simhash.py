@@ -11,7 +11,7 @@ of its links and not all pairs.
 Defined results: null or empty text has fingerprint zero and links like any other;
 equal fingerprints are one vertex however many rows share them; rows with a null id
 get their group's smallest id, too; an empty table gives no rows. A very long text is read whole, about
-12 MB of texts (or one text) at a time. Columns other than the id and the text are ignored by the query and
+2 MB of texts (or one text) at a time. Columns other than the id and the text are ignored by the query and
 kept by ``first_of_groups``.
 """
 

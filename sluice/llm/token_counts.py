@@ -6,7 +6,7 @@ the rest are merged, once per worker and distinct pre-token, by the library itse
 
 Defined results: null or empty text has 0 bytes and 0 tokens; words with characters
 whose folding or splitting isn't plain, and texts that hold a special token's
-opening ``<|``, go to the library whole; very long texts are counted whole, about 4 MB of texts (or one
+opening ``<|``, go to the library whole; very long texts are counted whole, about 2 MB of texts (or one
 text) at a time; repeated rows are counted each; an empty table gives no rows. Columns other than the id and the
 text are ignored, whatever their names.
 """
@@ -27,7 +27,7 @@ from sluice.llm.store import table
 from sluice.llm.wordbytes import Words, pieces, text_bytes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Words of these characters only split as below: no apostrophes (contractions), no
 #: capitals beyond ASCII, nothing that normalisation could change.
 _PLAIN = re.compile(r"[!-&(-@\[-~à-öø-ÿ]+")
@@ -69,8 +69,6 @@ class Counter:
 
     def learn(self, words: list[bytes]) -> None:
         whole, known = self.whole, self.parts
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
         if len(known) > CACHE_ENTRIES:
             known.clear()
         plain: list[tuple[bytes, list[str]]] = []
@@ -92,6 +90,8 @@ class Counter:
     def count(self, texts: pa.Array) -> np.ndarray:
         split = Words(texts)
         index, distinct = split.encode()
+        if len(self.words) + len(distinct) > CACHE_ENTRIES:
+            self.words.clear()
         missing = [w for w in distinct if w not in self.words]
         if missing:
             self.learn(missing)

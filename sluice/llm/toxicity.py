@@ -8,7 +8,7 @@ Training uses about ``SAMPLE`` labelled rows at most (a parameter; a share of th
 in which equal feature sets (copies) count once. Grades come from the labels alone: 0 clean, 1 toxic, 2 toxic in
 text of good quality (``quality`` 1), which reaches more readers than junk does; without that column, or without
 one of the kinds, there are two grades. Scoring reads
-every whole text, about 12 MB of texts (or one text) at a time.
+every whole text, about 2 MB of texts (or one text) at a time.
 
 Defined results: null or empty text gets the score of no features; ids without a
 document, rows with null labels and ids with labels that differ don't train; with labels of one class

@@ -81,7 +81,7 @@ class Words:
         return out.tobytes(), starts[:-1], starts[:-1] + size
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
