@@ -155,9 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
             doc, feature, names = document_features(batch.column("text"), None)
             lists = np.split(feature, np.searchsorted(doc, np.arange(1, batch.num_rows)))
             array = np.array(names, dtype=object)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_grade"), pa.array([array[x].tolist() for x in lists], pa.list_(pa.binary()))], names=["doc_id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_grade"), pa.array([sorted(array[x].tolist()) for x in lists], pa.list_(pa.binary()))], names=["doc_id", "grade", "features"])
 
-    rows = keep(met.select("doc_id", "_grade", "text").mapInArrow(read, "doc_id long, grade int, features array<binary>").dropDuplicates(["doc_id"]).dropDuplicates(["features"]), "features")
+    rows = keep(met.select("doc_id", "_grade", "text").mapInArrow(read, "doc_id long, grade int, features array<binary>").groupBy("features").agg(F.min("doc_id").alias("doc_id"), F.max("grade").alias("grade")), "features")
     toxic = (F.col("grade") > 0).cast("int")
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(toxic), F.lit(0))).first()
     if bad in (0, n):
