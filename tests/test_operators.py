@@ -78,6 +78,34 @@ def test_asof(spark):
     assert {(r.k, r.t): r.v for r in joins.asof_join(left, right, ["k"], "t", "at", "v").collect()} == {(1, 5): "x", (1, 10): "y", (2, 1): None}
 
 
+def test_interval_overlap_of_mixed_lengths(spark):
+    """Lengths from none to over the whole range, with nulls and repeated rows, each pair once."""
+    a = [(i, i * 37 % 900, i * 37 % 900 + [0, 1, 7, 64, 1000][i % 5]) for i in range(60)] + [(99, None, 5), (98, 3, None)]
+    b = [(i, i * 53 % 900 - 20, i * 53 % 900 - 20 + [300, 2, 0, 2500, 15][i % 5]) for i in range(60)]
+    left, right = spark.createDataFrame(a, "a int, s int, e int"), spark.createDataFrame(b, "b int, s2 int, e2 int")
+    for width in (1, 6, 5000):
+        got = sorted((r.a, r.b) for r in joins.interval_overlap(left, right, ("s", "e"), ("s2", "e2"), width).collect())
+        full = [x for x in a if x[1] is not None and x[2] is not None and x[1] < x[2]]
+        assert got == sorted((x[0], y[0]) for x in full for y in b if y[1] < y[2] and x[1] < y[2] and y[1] < x[2])
+    none = left.where("false")
+    assert joins.interval_overlap(none, right, ("s", "e"), ("s2", "e2"), 6).count() == 0
+
+
+def test_asof_of_a_hot_key_over_many_ranges(spark):
+    """One key holds most rows, so its values are carried over ranges; ties, null values and null keys too."""
+    right = [(1, i * 3, None if i % 11 == 0 else f"v{i:04d}") for i in range(400)] + [(1, 30, "v0010b"), (2, 5, "z"), (None, 7, "n"), (3, 1, None)]
+    left = [(1, i * 5 % 1300 - 10) for i in range(500)] + [(2, 4), (2, 5), (None, 9), (3, 2), (4, 1)]
+
+    def latest(k, t):
+        met = [(at, v) for key, at, v in right if key == k and at <= t and v is not None]
+        return max(met)[1] if met else None
+
+    a, b = spark.createDataFrame(left, "k int, t int"), spark.createDataFrame(right, "k int, at int, v string")
+    got = sorted(((r.k, r.t, r.v) for r in joins.asof_join(a, b, ["k"], "t", "at", "v").collect()), key=str)
+    assert got == sorted(((k, t, latest(k, t)) for k, t in left), key=str)
+    assert joins.asof_join(a, b.where("false"), ["k"], "t", "at", "v").where("v is null").count() == len(left)
+
+
 def test_resample_plan_rounds_half_to_even(spark):
     r = one(spark, T.resample_plan(F.lit(0), F.lit(36.0), 24.0, 4))
     assert r.c0 == [0, 2, 3, 4]
