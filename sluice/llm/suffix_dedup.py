@@ -20,9 +20,11 @@ collections whose members are short and aligned:
    from the anchor cannot be equal, so no order across columns is needed.
    All groups of a task go through the same rounds; symbols are kept column by column in
    a sequential file when they outgrow memory.
-4. Groups of very common anchors (a frequent line in a third of all texts) are parted
+4. Runs of very common anchors (a frequent line in a third of all texts) are parted
    once more by blocks of columns and a hash of the bytes that all windows of the block
-   hold, which again loses nothing.
+   hold, which again loses nothing. Parts that are equal are found by their hash with partial
+   aggregation, as in 2; blocks that still hold too many different parts are cut into narrower
+   ones, in the end of one window. So no collection has more than ``COMMON`` documents.
 
 Defined results: null or empty text has no bytes; texts shorter than ``length`` lose
 nothing; an exact copy loses all if it has ``length`` bytes; repeated rows (same id)
@@ -47,10 +49,10 @@ from sluice.llm.store import keep, slots, table
 from sluice.llm.wordbytes import pieces, text_bytes
 
 GRAM = 16
-#: Distinct runs of an anchor beyond which its group is parted by column blocks.
+#: Distinct runs of an anchor, or parts of runs of a block, beyond which they are parted by narrower blocks.
 COMMON = 2048
-#: Columns in such a block.
-BLOCK = 50
+#: Columns in a block, level by level; a block of one column holds equal windows only.
+BLOCKS = (50, 10, 1)
 #: Bytes of symbols kept in memory before they go to a file.
 IN_MEMORY = 96 << 20
 #: Documents whose columns one set of rounds builds.
@@ -298,47 +300,85 @@ def _build(groups: DataFrame, length: int) -> DataFrame:
     return groups.mapInArrow(run, "rid long, begin int, end int")
 
 
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts with their wanted runs (rid, start, n, off, key, own), so that a text meets them once."""
+    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "off", "key", "own")).alias("wanted"))
+    return docs.select("rid", "text").join(lists, "rid")
+
+
+def _values(batch: pa.RecordBatch, length: int) -> tuple[pa.Array, dict, list[bytes]]:
+    """rid of every wanted run, its fields, and its bytes."""
+    data, offsets = text_bytes(batch.column("text"))
+    raw = data.tobytes()
+    lists = batch.column("wanted")
+    flat = lists.flatten()
+    text = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    field = {f: flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n", "off")} | {f: flat.field(f) for f in ("key", "own")}
+    at = offsets[text] + field["start"]
+    values = [raw[a:b] for a, b in zip(at.tolist(), (at + field["n"] + length - 1).tolist())]
+    return batch.column("rid").take(pa.array(text)), field, values
+
+
 def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted runs. Rows of one text's runs meet its text once."""
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "off", "mini", "h1", "copies", "distinct")).alias("wanted"))
-    met = docs.select("rid", "text").join(lists, "rid")
+    """The bytes of wanted runs, aligned at their anchors."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            rids, field, values = _values(batch, length)
+            yield pa.RecordBatch.from_arrays([field["key"], field["own"], rids, pa.array(field["start"].astype(np.int32)), pa.array((length - field["off"]).astype(np.int32)), pa.array(values, pa.binary())], names=["key", "own", "rid", "start", "shift", "data"])
+
+    return _with_texts(docs, wanted).mapInArrow(cut, "key binary, own boolean, rid long, start int, shift int, data binary")
+
+
+def _parts(docs: DataFrame, wanted: DataFrame, length: int, width: int) -> DataFrame:
+    """Wanted runs cut at blocks of ``width`` columns (distances of a window's start from the anchor). All windows
+    of a block hold its core, so equal windows have equal keys: a hash of the run's key, block and core.
+    ``same`` is a hash of the part's bytes and place in the block."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in pieces(batches):
-            data, offsets = text_bytes(batch.column("text"))
-            raw = data.tobytes()
-            lists = batch.column("wanted")
-            flat = lists.flatten()
-            text = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            field = {f: flat.field(f) for f in ("start", "n", "off", "mini", "h1", "copies", "distinct")}
-            start, n, off = (field[f].to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n", "off"))
-            at = offsets[text] + start
-            values = [raw[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist())]
-            common = field["distinct"].to_numpy(zero_copy_only=False) > COMMON
-            own = field["copies"].to_numpy(zero_copy_only=False) == 1
-            mini = field["mini"].to_numpy(zero_copy_only=False)
-            rids = batch.column("rid").take(pa.array(text))
-            rare = np.flatnonzero(~common)
-            keys = [b"%d" % m for m in mini[rare].tolist()]
-            rows, starts, shifts, datas = rare.tolist(), start[rare].tolist(), (length - off[rare]).tolist(), [values[k] for k in rare.tolist()]
-            for k in np.flatnonzero(common).tolist():
-                #: columns (distance of a window's start from the anchor) in blocks; all
-                #: windows of a block hold its core, so equal windows have equal cores
-                first, last = int(-off[k]), int(-off[k] + n[k] - 1)
-                for block in range(first // BLOCK, last // BLOCK + 1):
-                    lo, hi = max(first, block * BLOCK), min(last, block * BLOCK + BLOCK - 1)
-                    value = values[k]
-                    core = value[block * BLOCK + BLOCK - 1 - first : block * BLOCK + length - first]
-                    keys.append(b"%d:%d:" % (mini[k], block) + xxh3_128_digest(core))
+            rids, field, values = _values(batch, length)
+            rows, keys, same, starts, ns, offs = [], [], [], [], [], []
+            for k, (value, key, start, n, off) in enumerate(zip(values, field["key"].to_pylist(), field["start"].tolist(), field["n"].tolist(), field["off"].tolist())):
+                first, last = -off, n - off - 1
+                for block in range(first // width, last // width + 1):
+                    lo, hi = max(first, block * width), min(last, block * width + width - 1)
+                    core = value[block * width + width - 1 - first : block * width + length - first]
                     rows.append(k)
-                    starts.append(int(start[k]) + lo - first)
-                    shifts.append(length + lo)
-                    datas.append(value[lo - first : hi - first + length])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(own[rows]), rids.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(shifts, pa.int32()), pa.array(datas, pa.binary())], names=["key", "own", "rid", "start", "shift", "data"])
-
-    return met.mapInArrow(cut, "key binary, own boolean, rid long, start int, shift int, data binary")
+                    keys.append(xxh3_128_digest(b"%d:%d:%b:%b" % (width, block, key, core)))
+                    same.append(xxh3_128_digest(value[lo - first : hi - first + length], lo - block * width))
+                    starts.append(start + lo - first)
+                    ns.append(hi - lo + 1)
+                    offs.append(-lo)
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(same, pa.binary()), field["own"].take(rows), rids.take(rows), *[pa.array(x, pa.int32()) for x in (starts, ns, offs)]], names=["key", "same", "own", "rid", "start", "n", "off"])
+
+    return _with_texts(docs, wanted).mapInArrow(cut, "key binary, same binary, own boolean, rid long, start int, n int, off int")
+
+
+def _whole(runs_: DataFrame, length: int) -> DataFrame:
+    return runs_.select("rid", F.col("start").alias("begin"), (F.col("start") + F.col("n") + F.lit(length - 1)).cast("int").alias("end"))
+
+
+def _narrow(docs: DataFrame, wide: DataFrame, length: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Runs of common anchors, block by block: spans that are repeated, and parts to build from (as ``wanted``)."""
+    spans = open_ = None
+    for width in BLOCKS:
+        if not wide.limit(1).count():
+            break
+        parts = keep(_parts(docs, wide, length, width), "parts")
+        kinds = keep(parts.groupBy("key", "same").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "start", "n", "off")).alias("at"), F.max("own").alias("own")), "part_kinds")
+        found = _whole(parts.join(kinds.where("copies > 1").select("key", "same"), ["key", "same"]), length)
+        spans = found if spans is None else spans.unionAll(found)
+        alone = F.col("copies") == 1
+        shared = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("distinct"), F.max(alone & F.col("own")).alias("open")).where("distinct > 1 and open").drop("open")
+        left = keep(kinds.join(shared, "key").select("key", (alone & F.col("own")).alias("own"), "distinct", "at.*"), "part_groups")
+        few = left.where(F.col("distinct") <= COMMON).drop("distinct")
+        open_ = few if open_ is None else open_.unionByName(few)
+        wide = left.where(F.col("distinct") > COMMON).drop("distinct")
+    return spans, open_
 
 
 def _merge(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,13 +396,17 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     first = F.min(F.struct("rid", "start", "n", "off"))
     kinds = keep(found.groupBy("mini", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), first.alias("at")), "kinds")
     copied = kinds.where("copies > 1").select("mini", "h1", "h2")
-    whole = found.join(copied, ["mini", "h1", "h2"]).select("rid", F.col("start").alias("begin"), (F.col("start") + F.col("n") + F.lit(length - 1)).cast("int").alias("end"))
+    spans = _whole(found.join(copied, ["mini", "h1", "h2"]), length)
     shared = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("distinct"), F.max(F.when(F.col("copies") == 1, 1)).alias("open")).where("distinct > 1 and open = 1").drop("open")
-    wanted = kinds.join(shared, "mini").select("mini", "h1", "copies", "distinct", "at.*")
+    runs_left = keep(kinds.join(shared, "mini").select(F.encode(F.col("mini").cast("string"), "utf-8").alias("key"), (F.col("copies") == 1).alias("own"), "distinct", "at.*"), "groups")
+    wanted = runs_left.where(F.col("distinct") <= COMMON).drop("distinct")
+    more, parts = _narrow(docs, runs_left.where(F.col("distinct") > COMMON).drop("distinct"), length)
+    if parts is not None:
+        spans, wanted = spans.unionAll(more), wanted.unionByName(parts)
     groups = _fetch(docs, wanted, length)
     if n > 1:
         groups = groups.repartition(n, "key")
-    return whole.unionAll(_build(groups.sortWithinPartitions("key", "rid", "start"), length))
+    return spans.unionAll(_build(groups.sortWithinPartitions("key", "rid", "start"), length))
 
 
 def with_row_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -61,6 +61,16 @@ def test_repeats_around_a_common_line(spark, prose, monkeypatch, common):
     check_repeats(spark, [prose[i][:300] + line + prose[i + 1][:300] for i in range(20)] + [prose[i][:50] + line + prose[40][: 30 + i] for i in range(15)], 400)
 
 
+def test_no_collection_outgrows_its_bound(spark, prose, monkeypatch):
+    """A line that many texts share in different places, cut block by block down to single windows."""
+    monkeypatch.setattr(suffix_dedup, "COMMON", 3)
+    seen, build = [], suffix_dedup._build
+    monkeypatch.setattr(suffix_dedup, "_build", lambda groups, length: seen.append(groups.groupBy("key").count().agg({"count": "max"}).first()[0]) or build(groups, length))
+    line = prose[7][:470]
+    check_repeats(spark, [prose[i][:300] + line + prose[i + 1][:300] for i in range(20)] + [f"{i} " + line[: 380 + 3 * i] + f"{i}" * 40 for i in range(30)], 400)
+    assert seen[0] is None or seen[0] <= 3
+
+
 def test_repeats_with_columns_in_a_file(spark, prose, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 0)
     held = [prose[4][:600] + "!", "?" + prose[4][:600], prose[4][50:600]]
