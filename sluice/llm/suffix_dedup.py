@@ -122,7 +122,8 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
 
 
 def runs(docs: DataFrame, length: int) -> DataFrame:
-    """rid, start, n (windows), mini, h1, h2 of every run of every text."""
+    """rid, start, n (windows), off, mini, h1, h2 of every run of every text. Equal runs of one text are one row, with
+    their number (``times``) and the bytes they cover (``spans``), so a text that repeats itself is no hot key."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -130,14 +131,29 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
         for batch in pieces(batches, limit=8 << 20):
             data, offsets = text_bytes(batch.column("text"))
             text, first, n, off, mini = anchor_runs(data, offsets, length)
+            if not len(text):
+                continue
             at = offsets[text] + first
             raw = data.tobytes()
             #: the distance is hashed too, so equal hashes mean equal bytes at equal places
             digest = b"".join([xxh3_128_digest(raw[a:b], s) for a, b, s in zip(at.tolist(), (at + n + length - 1).tolist(), off.tolist())])
             h = np.frombuffer(digest, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["rid", "start", "n", "off", "mini", "h1", "h2"])
-
-    return docs.select("rid", "text").mapInArrow(find, "rid long, start int, n int, off int, mini long, h1 long, h2 long")
+            order = np.lexsort((first, h[:, 1], h[:, 0], text))
+            text, first, h = text[order], first[order], h[order]
+            end = first + n[order] + length - 1
+            head = np.ones(len(text), dtype=bool)
+            head[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]).any(axis=1)
+            cut = head.copy()
+            cut[1:] |= first[1:] > end[:-1]
+            heads, cuts = np.flatnonzero(head), np.flatnonzero(cut)
+            spans = pa.StructArray.from_arrays([pa.array(first[cuts].astype(np.int32)), pa.array(end[np.append(cuts[1:] - 1, len(text) - 1)].astype(np.int32))], names=["begin", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(cuts, np.append(heads, len(text))).astype(np.int32)), spans)
+            pick = order[heads]
+            ints = [pa.array(x.astype(np.int32)) for x in (first[heads], n[pick], off[pick])]
+            times = pa.array(np.diff(np.append(heads, len(text))))
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(text[heads])), *ints, pa.array(mini[pick].view(np.int64)), pa.array(h[heads, 0]), pa.array(h[heads, 1]), times, spans], names=["rid", "start", "n", "off", "mini", "h1", "h2", "times", "spans"])
+
+    return docs.select("rid", "text").mapInArrow(find, "rid long, start int, n int, off int, mini long, h1 long, h2 long, times long, spans array<struct<begin:int,end:int>>")
 
 
 class Columns:
@@ -358,10 +374,6 @@ def _parts(docs: DataFrame, wanted: DataFrame, length: int, width: int) -> DataF
     return _with_texts(docs, wanted).mapInArrow(cut, "key binary, same binary, own boolean, rid long, start int, n int, off int")
 
 
-def _whole(runs_: DataFrame, length: int) -> DataFrame:
-    return runs_.select("rid", F.col("start").alias("begin"), (F.col("start") + F.col("n") + F.lit(length - 1)).cast("int").alias("end"))
-
-
 def _narrow(docs: DataFrame, wide: DataFrame, length: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Runs of common anchors, block by block: spans that are repeated, and parts to build from (as ``wanted``)."""
     spans = open_ = None
@@ -370,7 +382,8 @@ def _narrow(docs: DataFrame, wide: DataFrame, length: int) -> tuple[DataFrame |
             break
         parts = keep(_parts(docs, wide, length, width), "parts")
         kinds = keep(parts.groupBy("key", "same").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "start", "n", "off")).alias("at"), F.max("own").alias("own")), "part_kinds")
-        found = _whole(parts.join(kinds.where("copies > 1").select("key", "same"), ["key", "same"]), length)
+        stop = (F.col("start") + F.col("n") + F.lit(length - 1)).cast("int")
+        found = parts.join(kinds.where("copies > 1").select("key", "same"), ["key", "same"]).select("rid", F.col("start").alias("begin"), stop.alias("end"))
         spans = found if spans is None else spans.unionAll(found)
         alone = F.col("copies") == 1
         shared = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("distinct"), F.max(alone & F.col("own")).alias("open")).where("distinct > 1 and open").drop("open")
@@ -394,9 +407,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     n = slots(docs.sparkSession)
     found = keep(runs(docs, length), "runs")
     first = F.min(F.struct("rid", "start", "n", "off"))
-    kinds = keep(found.groupBy("mini", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), first.alias("at")), "kinds")
+    kinds = keep(found.groupBy("mini", "h1", "h2").agg(F.sum("times").alias("copies"), first.alias("at")), "kinds")
     copied = kinds.where("copies > 1").select("mini", "h1", "h2")
-    spans = _whole(found.join(copied, ["mini", "h1", "h2"]), length)
+    spans = found.join(copied, ["mini", "h1", "h2"]).select("rid", F.explode("spans").alias("span")).select("rid", "span.begin", "span.end")
     shared = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("distinct"), F.max(F.when(F.col("copies") == 1, 1)).alias("open")).where("distinct > 1 and open = 1").drop("open")
     runs_left = keep(kinds.join(shared, "mini").select(F.encode(F.col("mini").cast("string"), "utf-8").alias("key"), (F.col("copies") == 1).alias("own"), "distinct", "at.*"), "groups")
     wanted = runs_left.where(F.col("distinct") <= COMMON).drop("distinct")
