@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.identity import with_row_index
+from sluice.operators.ranges import equal_runs
 from sluice.plans.catalog import Tables, query
 
 
@@ -19,9 +20,8 @@ def occurrence_number(t: Tables) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS island FROM events) GROUP BY user_id, event_type, island""")
 def gaps_and_islands_runs(t: Tables) -> DataFrame:
     """Runs of equal event types of each user."""
-    everything, same = Window.partitionBy("user_id").orderBy("event_id"), Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    rows = t.events.select("user_id", "event_type", "event_id").withColumn("island", F.row_number().over(everything) - F.row_number().over(same))
-    return rows.groupBy("user_id", "event_type", "island").agg(F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("n")).drop("island")
+    got = equal_runs(t.events, "user_id", "event_id", "event_type")
+    return got.withColumnsRenamed({"first": "first_event", "last": "last_event"})
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY (role = 'user') DESC, turn)::INT AS pos FROM conversations")

@@ -176,3 +176,22 @@ def test_discovery():
         discovery.discover(config, lambda p: 1, ("r2v",))
     assert discovery.build_fingerprint(found, {}) != discovery.build_fingerprint(found, {"x": 1})
     assert discovery.parse_tasks(" R2V, i2i") == ("i2i", "r2v")
+
+
+def test_runs_of_equal_values_over_ranges(spark):
+    import itertools
+    import random
+
+    from sluice.operators.ranges import equal_runs
+
+    rng = random.Random(7)
+    rows = [(k, i, rng.choice(["a", "a", "b", None])) for i, k in enumerate([1] * 300 + [None] * 40 + [2] * 3 + [3])]
+    rows += [(9, 1000 + i, "same") for i in range(200)]
+    want = []
+    for k, of in itertools.groupby(rows, key=lambda r: r[0]):
+        for v, run in itertools.groupby(of, key=lambda r: r[2]):
+            at = [r[1] for r in run]
+            want.append((k, v, at[0], at[-1], len(at)))
+    df = spark.createDataFrame(rows, "k int, at int, v string")
+    assert sorted(map(tuple, equal_runs(df.repartition(5), "k", "at", "v").collect()), key=str) == sorted(want, key=str)
+    assert equal_runs(df.limit(0), "k", "at", "v").count() == 0
