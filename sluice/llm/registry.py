@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from sluice.llm.alignment import op13_alignment
 from sluice.llm.ann import op5_ann
 from sluice.llm.decontaminate import op7_decontamination
 from sluice.llm.hmm import op2_hmm_scoring
+from sluice.llm.line_dedup import OP12_SQL, op12_line_dedup
 from sluice.llm.packing import op1_best_fit_packing
 from sluice.llm.pii import op10_pii
+from sluice.llm.resampling import op11_resampling
 from sluice.llm.simhash import op8_simhash_dedup
 from sluice.llm.suffix_dedup import op6_suffix_dedup
 from sluice.llm.token_counts import op3_token_counts
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
+    "op11_resampling": op11_resampling,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL, "op12_line_dedup": OP12_SQL}
