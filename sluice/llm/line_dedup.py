@@ -36,10 +36,21 @@ FANOUT = 4
 HOT = 1024
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """The hash of a line's key; null for keys of fewer code points."""
-    key = F.translate(F.btrim(line, F.lit(BLANK)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(F.char_length(key) >= min_chars, F.substring(F.sha2(key, 256), 1, 32))
+#: Other characters than ASCII that lowering might change (upper and title case, numerals, symbols, and what the regular
+#: expressions' tables don't know).
+CASED = r"[[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}]&&[^\x00-\x7F]]"
+
+
+def lowered(text: Column) -> Column:
+    """A-Z lowered and nothing else: by Spark's own lowering, but for lines in which that could change other characters."""
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(CASED)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """The hash of each line's key; null for keys of fewer code points (lowering keeps their number)."""
+    keys = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANK)))
+    return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.substring(F.sha2(lowered(k), 256), 1, 32)))
 
 
 def lines_of(text: Column) -> Column:
@@ -128,7 +139,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batc
     """(hashes of repeated lines with n and top, lines of all rows). Rows are fed to the store in batches of their ids' ranges; the lines
     (batch, doc_id, row, hs: a hash or null per line) are kept, as batches and the caller read them."""
     spark = docs.sparkSession
-    hs = F.transform(lines_of(F.col(text_col)), lambda x: line_hash(x, min_chars))
+    hs = line_hashes(lines_of(F.col(text_col)), min_chars)
     rows = docs.select(_batch_of(docs, id_col, batches).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), row_name(id_col, text_col).alias("row"), hs.alias("hs"))
     lines = keep(rows.where(F.exists("hs", lambda h: h.isNotNull())), "lines")
     store = LineRuns(spark)

@@ -92,3 +92,10 @@ def test_runs_are_disjoint_compacted_and_joined_where_they_lie(spark):
 def test_no_python_workers_on_the_main_path(spark, sf):
     plan = __spark_entry__.queries()["op12_line_dedup"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    texts = ["ABC xyz", "Été É", "ΣΑΣ Σ", "İI", "ǅ ǆ", "Ⅷ Ⓐ", "KELVIN K", "漢字 ABC", "\U00010570 Z", "ẞ ß", "a\nB é", "", "🙂 Q"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = ["".join(c.lower() if c.isascii() else c for c in t) for t in texts]
+    assert [r[0] for r in df.select(line_dedup.lowered(F.col("t"))).collect()] == want
