@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sluice.functions.canonical import canonical, canonical_columns
 from sluice.session import kept
 
 
-def canonical_json(**fields: Column) -> Column:
-    """Compact JSON of fields in order of their names; nulls stay, so no two rows share a text."""
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+def content_key(*fields: DataFrame | str | Column, **named: Column) -> Column:
+    """SHA-256 over the canonical JSON of fields: columns by their names, expressions by keyword (or by place, as f0, f1, ..).
 
-
-def content_key(*fields: str | Column, **named: Column) -> Column:
-    """SHA-256 over the canonical JSON of fields: columns by their names, expressions by keyword (or by place)."""
-    plain = {f: F.col(f) for f in fields if isinstance(f, str)}
-    placed = {f"f{i}": f for i, f in enumerate(fields) if not isinstance(f, str)}
-    return F.sha2(canonical_json(**plain, **placed, **named), 256)
+    The first argument is the frame whose columns they are: its types decide how values are written. Without one all
+    values count as strings."""
+    df = fields[0] if fields and isinstance(fields[0], DataFrame) else None
+    fields = fields[1:] if df is not None else fields
+    placed = {f"f{i}": f for i, f in enumerate(fields) if not isinstance(f, str)} | named
+    names = [f for f in fields if isinstance(f, str)]
+    if df is not None:
+        return F.sha2(canonical_columns(df, *names, **placed), 256)
+    values = {f: F.col(f) for f in names} | placed
+    return F.sha2(canonical(F.struct(*[v.cast("string").alias(k) for k, v in values.items()]), T.StructType([T.StructField(k, T.StringType()) for k in values])), 256)
 
 
 def external_key(dataset: Column, record: Column) -> Column:

@@ -27,7 +27,7 @@ def manifest_reason(df: DataFrame, plan_fields: list[str], frames: int = FRAMES)
         ("empty_caption", blank_text("caption")),
         ("unknown_task", ~F.col("task").isin("i2i", "r2v")),
         ("reference_count_out_of_range", ~F.size("reference_paths").between(1, 4)),
-        ("plan_hash_mismatch", F.col("sample_plan_sha256") != content_key(*plan_fields)),
+        ("plan_hash_mismatch", F.col("sample_plan_sha256") != content_key(df, *plan_fields)),
         ("geometry_mismatch", (F.col("target_width") != WIDTH) | (F.col("target_height") != HEIGHT)),
         ("frame_list_length", F.size(idx) != frames),
         ("frame_list_order", ~strictly_increasing(idx)),

@@ -27,8 +27,9 @@ def external_record_check(t: Tables) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'sample_key_mismatch' END AS reason FROM documents""")
 def record_key_check(t: Tables) -> DataFrame:
     """A normalised record's stored key against one recomputed from its fields."""
-    stored = t.documents.withColumn("key", F.when(F.col("doc_id") % 9 == 0, F.lit("x")).otherwise(content_key("lang", "source", "text")))
-    return stored.select("doc_id", F.when(F.col("key") != content_key("lang", "source", "text"), "sample_key_mismatch").alias("reason"))
+    docs = t.documents
+    stored = docs.withColumn("key", F.when(F.col("doc_id") % 9 == 0, F.lit("x")).otherwise(content_key(docs, "lang", "source", "text")))
+    return stored.select("doc_id", F.when(F.col("key") != content_key(docs, "lang", "source", "text"), "sample_key_mismatch").alias("reason"))
 
 
 @query("""SELECT doc_id, CASE WHEN h <= 1 OR w <= 1 THEN 'degenerate_vlm_reference_geometry' WHEN c <> 3 THEN 'invalid_vlm_reference_tensor' END AS reason FROM (SELECT doc_id, n_chars % 50 AS h, n_chars // 7 % 40 AS w, CASE WHEN doc_id % 8 = 0 THEN 4 ELSE 3 END AS c FROM documents) WHERE true""")

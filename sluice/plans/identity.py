@@ -6,21 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.identity import collisions, content_key, dedup, external_key, with_row_index
-from sluice.plans.catalog import Tables, query
+from sluice.plans.catalog import Tables, json_object, json_text, query
 
 
-@query("SELECT doc_id, sha256(to_json({'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})::VARCHAR) AS sample_key FROM documents")
+_NUMBER = "coalesce(n_chars::VARCHAR, 'null')"
+_PLAN = f"sha256({json_object(lang=json_text('lang'), n_chars=_NUMBER, source=json_text('source'))})"
+
+
+@query(f"SELECT doc_id, sha256({json_object(lang=json_text('lang'), n_chars=_NUMBER, source=json_text('source'), text=json_text('text'))}) AS sample_key FROM documents")
 def sample_key(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", content_key("source", "lang", "text", "n_chars").alias("sample_key"))
+    docs = t.documents
+    return docs.select("doc_id", content_key(docs, "source", "lang", "text", "n_chars").alias("sample_key"))
 
 
-@query(r"""SELECT doc_id, plan_hash, plan_hash = sha256(to_json({'lang': lang, 'n_chars': n_chars, 'source': source})::VARCHAR) AS valid FROM (
-  SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, sha256(to_json({'lang': lang, 'n_chars': n_chars, 'source': source})::VARCHAR) AS plan_hash FROM documents)""")
+@query(f"""SELECT doc_id, plan_hash, plan_hash = {_PLAN} AS valid FROM (
+  SELECT doc_id, source, lang, CASE WHEN doc_id % 10 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, {_PLAN} AS plan_hash FROM documents)""")
 def plan_hash_verify(t: Tables) -> DataFrame:
     """A stored hash against one recomputed after every tenth row was changed."""
-    stored = t.documents.withColumn("plan_hash", content_key("source", "lang", "n_chars"))
+    docs = t.documents
+    stored = docs.withColumn("plan_hash", content_key(docs, "source", "lang", "n_chars"))
     changed = stored.withColumn("n_chars", F.when(F.col("doc_id") % 10 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return changed.select("doc_id", "plan_hash", (F.col("plan_hash") == content_key("source", "lang", "n_chars")).alias("valid"))
+    return changed.select("doc_id", "plan_hash", (F.col("plan_hash") == content_key(changed, "source", "lang", "n_chars")).alias("valid"))
+
+
+@query(f"""SELECT conv_id, sha256({json_object(n="n::VARCHAR", roles="roles", turns="'{' || entries || '}'")}) AS conversation_key FROM (
+  SELECT conv_id, count(*) AS n, '[' || string_agg({json_text('role')}, ',' ORDER BY turn, role) || ']' AS roles, string_agg('"' || turn || '":' || {json_text('text')}, ',' ORDER BY turn::VARCHAR) AS entries
+  FROM conversations GROUP BY conv_id)""")
+def nested_content_key(t: Tables) -> DataFrame:
+    """A key over a nested record: a list of roles in order, and a map from turn to text, sorted by the turns' text."""
+    turns = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"), F.map_from_entries(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    rows = turns.select("conv_id", "n", F.col("r.role").alias("roles"), "turns")
+    return rows.select("conv_id", content_key(rows, "n", "roles", "turns").alias("conversation_key"))
 
 
 @query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.identity import content_key
 from sluice.operators.reject import blank, first_reason, with_reason
-from sluice.plans.catalog import Tables, query
+from sluice.plans.catalog import Tables, json_object, json_text, query
 
 LONG, SHORT = 8_000, 40
 TASKS = ("en", "fr", "de")
@@ -30,22 +31,25 @@ REASON_SQL = f"""CASE WHEN coalesce(trim(text), '') = '' THEN 'empty_caption' WH
 
 
 @query(f"""
-WITH c AS (SELECT *, {REASON_SQL} AS reason, sha256(concat_ws('|', lang, text)) AS sample_key FROM documents),
+WITH c AS (SELECT *, {REASON_SQL} AS reason, sha256({json_object(lang=json_text('lang'), text=json_text('text'))}) AS sample_key FROM documents),
 k AS (SELECT *, row_number() OVER (PARTITION BY sample_key ORDER BY doc_id) AS r FROM c WHERE reason IS NULL)
 SELECT status, count(*) AS n, min(doc_id) AS first_doc FROM (
   SELECT CASE WHEN r = 1 THEN 'accepted' ELSE 'duplicate' END AS status, doc_id FROM k
   UNION ALL SELECT reason, doc_id FROM c WHERE reason IS NOT NULL) GROUP BY status
 """)
 def flagship_manifest_summary(t: Tables) -> DataFrame:
-    """Scan, reject with reasons, key by content, first wins, count by status: one row per key
-    meets in the aggregate, whose first id makes the accepted one."""
-    rows = checked(t.documents.select("doc_id", "lang", "text")).withColumn("sample_key", F.sha2(F.concat_ws("|", "lang", "text"), 256))
+    """Scan, reject with reasons, key by content, first wins, count by status. One row per key meets in
+    the aggregate, whose first id makes the accepted one; the first duplicate is the least id that is no key's first."""
+    docs = t.documents.select("doc_id", "lang", "text")
+    rows = checked(docs).withColumn("sample_key", content_key(docs, "lang", "text"))
     good = rows.where("reason is null").groupBy("sample_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
-    accepted = good.agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("first_doc")).select(F.lit("accepted").alias("status"), "n", "first_doc")
-    second = rows.where("reason is null").join(good.where("n > 1").select("sample_key", "least"), "sample_key").where("doc_id > least")
-    duplicate = second.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 0").select(F.lit("duplicate").alias("status"), "n", "first_doc")
-    rejected = rows.where("reason is not null").groupBy(F.col("reason").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    return accepted.where("n > 0").unionAll(duplicate).unionAll(rejected)
+    some = F.count(F.lit(1))
+    totals = good.agg(some.alias("keys"), F.sum("n").alias("rows"), F.min("least").alias("first"))
+    second = rows.where("reason is null").select("doc_id").join(good.select(F.col("least").alias("doc_id")), "doc_id", "left_anti").agg(F.min("doc_id").alias("second"))
+    parts = F.explode(F.array(F.struct(F.lit("accepted").alias("status"), F.col("keys").alias("n"), F.col("first").alias("first_doc")), F.struct(F.lit("duplicate").alias("status"), (F.col("rows") - F.col("keys")).alias("n"), F.col("second").alias("first_doc"))))
+    kept = totals.crossJoin(second).select(parts.alias("p")).select("p.*").where("n > 0")  # a row each
+    rejected = rows.where("reason is not null").groupBy(F.col("reason").alias("status")).agg(some.alias("n"), F.min("doc_id").alias("first_doc"))
+    return kept.unionAll(rejected)
 
 
 @query(f"SELECT doc_id, {REASON_SQL} AS reason FROM documents")
