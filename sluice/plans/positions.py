@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import index as I
 from sluice.operators import sampling as S
-from sluice.operators.identity import with_row_index
 from sluice.plans.catalog import Tables, query
+from sluice.session import shared_dir
+from sluice.sources.offsets import build_index, open_index, read_entries, read_row_range
 
 
 def _indexed(t: Tables) -> DataFrame:
@@ -31,12 +34,37 @@ def index_groups(t: Tables) -> DataFrame:
     return _indexed(t).groupBy("task", "dataset").agg(F.count(F.lit(1)).alias("n"), F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"), F.max("offset").alias("last_offset"))
 
 
-@query(f'SELECT row_index, doc_id FROM ({_INDEX}) WHERE "offset" IN (SELECT "offset" FROM ({_INDEX}) WHERE row_index IN (0, 7, 19, 42))')
+def _stored(t: Tables) -> tuple[DataFrame, str]:
+    """The documents as files of JSON lines in the shared folder, in order of doc_id, and their stored index."""
+    base = f"{shared_dir(t.spark)}/sluice/manifest-{uuid.uuid4().hex}"
+    docs = t.documents.select("doc_id", "lang", "source", "n_chars", "text")
+    line = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(line).write.text(f"{base}/lines")
+    build_index(t.spark, f"{base}/lines", f"{base}/index", {"task": "$.lang", "dataset": "$.source"})
+    return open_index(t.spark, f"{base}/index", f"{base}/lines"), base
+
+
+@query("SELECT row_index, doc_id, lang, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents) WHERE row_index IN (0, 7, 19, 42, 150, 199)")
 def index_point_read(t: Tables) -> DataFrame:
-    """Rows read by the offsets that an index gives for wanted row numbers."""
-    rows = _indexed(t)
-    wanted = rows.where(F.col("row_index").isin(0, 7, 19, 42)).select("offset")
-    return rows.join(wanted, "offset", "left_semi").select("row_index", "doc_id")
+    """Rows read from their byte ranges, which a stored index gives for wanted row numbers."""
+    entries, _ = _stored(t)
+    lines = read_entries(entries.where(F.col("row").isin(0, 7, 19, 42, 150, 199)))
+    record = F.from_json("line", "doc_id long, lang string, n_chars long, text string")
+    return lines.select(F.col("row").alias("row_index"), record.alias("r")).select("row_index", "r.doc_id", "r.lang", "r.n_chars", F.sha2(F.coalesce("r.text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("SELECT lang AS task, source AS dataset, count(*) AS n, min(i) AS first_row, max(i) AS last_row FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) GROUP BY ALL")
+def stored_index_groups(t: Tables) -> DataFrame:
+    """Rows of each task and dataset, from a stored index alone."""
+    return _stored(t)[0].groupBy("task", "dataset").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+
+
+@query("SELECT doc_id, row_index, sha256(coalesce(text, '')) AS text_sha256 FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents) WHERE lang = 'de' AND row_index BETWEEN 20 AND 180")
+def index_range_read(t: Tables) -> DataFrame:
+    """The rows of one task in a range of row numbers, each read from its byte range."""
+    lines = read_entries(_stored(t)[0].where("task = 'de' and row between 20 and 180"))
+    record = F.from_json("line", "doc_id long, text string")
+    return lines.select("row", record.alias("r")).select("r.doc_id", F.col("row").alias("row_index"), F.sha2(F.coalesce("r.text", F.lit("")), 256).alias("text_sha256"))
 
 
 @query("SELECT doc_id, CASE WHEN lang NOT IN ('en', 'de') THEN 'unknown_task' WHEN trim(text, ' ') = '' THEN 'empty_caption' WHEN n_chars > 5000 THEN 'too_long' END AS full_check, CASE WHEN lang NOT IN ('en', 'de') THEN 'unknown_task' END AS compact_check FROM documents")
@@ -174,5 +202,6 @@ def rank_agreement(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, i FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 3 = 1 AND i BETWEEN 12 AND 200")
 def range_of_interleaved_shard(t: Tables) -> DataFrame:
-    """A row range read of one interleaved shard."""
-    return with_row_index(t.documents.select("doc_id"), ["doc_id"], "i").where("i % 3 = 1 and i between 12 and 200")
+    """A row range read of one interleaved shard, from the files that overlap the range."""
+    rows = read_row_range(t.spark, f"{t.sf_dir}/documents.parquet", 12, 201, ["doc_id"])
+    return rows.select("doc_id", F.col("position").alias("i")).where("i % 3 = 1")

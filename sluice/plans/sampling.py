@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.operators.identity import with_row_index
 from sluice.operators.sampling import apportion, draw_category, epoch_blocks, first_k, hash_order, stratified, unit
 from sluice.plans.catalog import Tables, query
+from sluice.sources.offsets import read_row_range
 
 
 @query("""SELECT doc_id, CASE WHEN d < 0.3 THEN 'i2i' WHEN d < 0.3 + 0.5 THEN 'r2v' ELSE 'both' END AS category FROM (
@@ -110,5 +110,6 @@ def rank_slots(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, i FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i BETWEEN 25 AND 60")
 def row_range_scan(t: Tables) -> DataFrame:
-    """Rows of a range of positions."""
-    return with_row_index(t.documents.select("doc_id"), ["doc_id"], "i").where(F.col("i").between(25, 60))
+    """Rows of a range of positions: the table's files hold them in order of doc_id, so only the files that
+    overlap the range are read."""
+    return read_row_range(t.spark, f"{t.sf_dir}/documents.parquet", 25, 61, ["doc_id"]).select("doc_id", F.col("position").alias("i"))
