@@ -18,7 +18,8 @@ queries go to every part. A bucket's part gives the k + 1 nearest for each query
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; distances are defined between vectors of one length; fewer
 vectors than k of a length give fewer rows; ties go to the smaller id; rows with a null id take no part;
-of repeated ids each row counts; an empty table gives no rows; columns other than the id and the vector are ignored,
+of repeated ids each row counts: each query row gets a list of its own (so a repeated query id has several), and only
+one row that is as the query's own is left out of it; an empty table gives no rows; columns other than the id and the vector are ignored,
 whatever their names.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.store import keep, slots, table
+from sluice.operators.identity import with_row_index
 
 TABLES = 4
 WIDTH_K = 6
@@ -221,9 +223,12 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
     used = used.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     first = Window.partitionBy("h1", "h2").orderBy("id")
     kept = keep(used.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1), "vectors")
-    ids = kept.groupBy("h1", "h2").agg(F.min("id").alias("uid"), F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 of each at most
-    entries = keep(kept.where("r = 1").select(F.col("id").alias("uid"), "v", "h1", "h2"), "entries")
-    asked = keep(used.where("asks").select(F.col("id").alias("query_id"), "h1", "h2").join(entries.select("h1", "h2", F.col("uid").alias("quid")), ["h1", "h2"]).select("query_id", "quid"), "asked")
+    #: entries are numbered in order of their smallest id, so that ties by number are ties by id
+    entries = keep(with_row_index(kept.where("r = 1").select("id", "v", "h1", "h2"), ["id", "h1", "h2"], "uid").select("uid", "v", "h1", "h2"), "entries")
+    named = entries.select("h1", "h2", "uid")
+    ids = kept.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(named, ["h1", "h2"]).select("uid", "ids")  # k + 1 of each at most
+    asked = used.where("asks").select(F.col("id").alias("query_id"), "h1", "h2").join(named.withColumnRenamed("uid", "quid"), ["h1", "h2"])
+    asked = keep(asked.select("query_id", "quid", F.monotonically_increasing_id().alias("ask")), "asked")  # a row per query row
 
     bucketed = "bucket long, uid long, v array<double>"
     asking = keep(entries.join(asked.select(F.col("quid").alias("uid")).distinct(), "uid", "left_semi").select("uid", "v"), "asking")
@@ -249,11 +254,13 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
 
     by_near = Window.partitionBy("quid").orderBy("dist", "uid")
     top = found.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= k + 1).drop("r")
-    spread = top.join(ids.select("uid", "ids"), "uid").select("quid", "dist", F.explode("ids").alias("vec_id"))
-    by_id = Window.partitionBy("quid").orderBy("dist", "vec_id")
-    best = spread.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).drop("r")
-    out = asked.join(best, "quid").where("vec_id <> query_id")
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))).where(F.col("rank") <= k)
+    spread = top.join(ids, "uid").select("quid", "uid", "dist", F.explode("ids").alias("vec_id"))
+    by_id = Window.partitionBy("quid").orderBy("dist", "vec_id", "uid")
+    best = spread.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
+    #: of rows that are as the query's own one goes, the others are candidates like any row
+    own = F.min(F.when((F.col("uid") == F.col("quid")) & (F.col("vec_id") == F.col("query_id")), F.col("r"))).over(Window.partitionBy("ask"))
+    out = asked.join(best, "quid").withColumn("own", own).where("own is null or r <> own")
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy("r"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", F.col("dist").alias("score"))
 
 
