@@ -37,6 +37,9 @@ from sluice.llm.store import fresh, keep, table
 MAX_BITS = 1 << 27
 BITS_PER_KEY = 10
 HASHES = 5
+#: A cue word is so many times as frequent in toxic documents as in clean ones; a page is marked by so many different cue words.
+CUE_RATIO = 8
+CUES = 2
 
 #: Fixed rules of the query: (verdict, rule).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -209,25 +212,50 @@ def judge(pages: DataFrame, rules, listed: DataFrame, url_col: str = "url") -> D
     return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
 
 
-def listed_hosts(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """The query's list, from labelled data: hosts whose labelled pages are toxic more often than all
-    labelled pages are. pages: page_id, url; labels: doc_id (a page's id), toxic."""
-    marked = split_url(pages.select("page_id", "url")).join(labels.select(F.col("doc_id").alias("page_id"), F.col("toxic").cast("long").alias("toxic")), "page_id").where("toxic is not null and host <> ''")
-    of_host = keep(marked.groupBy("host").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "hosts")
+def words_of(text: Column) -> Column:
+    """The distinct ASCII words of a text, lowered."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
+
+
+def cue_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """word: those in a tenth of all labelled toxic documents or more, and CUE_RATIO times as often in these as in clean ones."""
+    marked = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")), "doc_id").where("toxic is not null")
+    marked = keep(marked.select("toxic", words_of(F.col("text")).alias("words")), "labelled_words")
+    toxic, clean = F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))
+    all_t, all_c = marked.agg(toxic, clean).first()
+    each = marked.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(toxic.alias("t"), clean.alias("c"))
+    return each.where((F.col("t") > 0) & (F.col("t") * 10 >= all_t) & (F.col("t") * F.lit(all_c) >= F.col("c") * (CUE_RATIO * all_t))).select("word")
+
+
+def listed_hosts(pages: DataFrame, cues: DataFrame) -> DataFrame:
+    """The query's list, from the pages themselves: hosts on which pages with CUES or more different cue words are more
+    frequent than on all. pages: url, html."""
+    rows = keep(split_url(pages.select("page_id", "url", "html")).where("host <> ''").select("host", F.monotonically_increasing_id().alias("row"), words_of(F.col("html")).alias("words")), "page_words")
+    hits = rows.select("host", "row", F.explode("words").alias("word")).join(cues, "word", "left_semi").groupBy("host", "row").count().where(F.col("count") >= CUES)
+    bad = hits.groupBy("host").agg(F.count(F.lit(1)).alias("t"))
+    of_host = keep(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(bad, "host", "left").select("host", "n", F.coalesce("t", F.lit(0)).alias("t")), "hosts")
     all_t, all_n = of_host.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return of_host.where(F.col("t") * F.lit(all_n) > F.col("n") * F.lit(all_t)).select(F.col("host").alias("key"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, RULES, listed_hosts(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    cues = cue_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(pages.drop("html"), RULES, listed_hosts(pages, cues)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP9_SQL = """
 WITH u AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+         list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '[A-Za-z]+'), lambda w: lower(w))) AS words FROM pages
+), x AS (
+  SELECT toxic, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda w: lower(w))) AS words FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL
+), y AS (
+  SELECT word, sum(toxic) AS t, sum(1 - toxic) AS c FROM (SELECT toxic, unnest(words) AS word FROM x) GROUP BY word
+), cue AS (
+  SELECT word FROM y WHERE t > 0 AND t * 10 >= (SELECT sum(toxic) FROM x) AND t * (SELECT sum(1 - toxic) FROM x) >= 8 * c * (SELECT sum(toxic) FROM x)
 ), p AS (
-  SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*', 0), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, words, translate(coalesce(regexp_extract(rest, '^[^/?#]*', 0), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
 ), r AS (
   SELECT *, CASE
@@ -238,7 +266,7 @@ WITH u AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM p
 ), m AS (
-  SELECT host, sum(toxic) AS t, count(*) AS n FROM p JOIN labels ON page_id = doc_id WHERE toxic IS NOT NULL AND host <> '' GROUP BY host
+  SELECT host, count(*) FILTER (len(list_intersect(words, (SELECT coalesce(list(word), []) FROM cue))) >= 2) AS t, count(*) AS n FROM p WHERE host <> '' GROUP BY host
 ), listed AS (
   SELECT host FROM m WHERE t * (SELECT sum(n) FROM m) > n * (SELECT sum(t) FROM m)
 )

@@ -125,17 +125,25 @@ URLS = ["http://Example.ORG/es/x?q#f", "https://a.example.org/en/12", "https://e
 
 def test_url_query_equals_sql(spark, tmp_path):
     table = pd.DataFrame({"page_id": range(len(URLS) + 2), "url": [*URLS, URLS[0], URLS[12]], "html": "x"})
+    #: two cue words on pages 12 (twice the host's) and 13, one of them alone on 6, on a page without a host, and again on a rule's host
+    table.loc[[12, 13, 18, 3, 0], "html"] = "<p>Awful</p> and VILE é"
+    table.loc[[6, 14], "html"] = "awful awful awful"
+    table.loc[7, "html"] = None
     table.to_parquet(tmp_path / "pages.parquet")
+    texts = {12: "awful nasty vile", 13: "clean words", 6: "so nasty, Awful!", 0: "other clean words, nasty", 18: "nasty awful vile", 2: "awful", 99: None, 50: "awful unlabelled"}
+    pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())}).to_parquet(tmp_path / "documents.parquet")
     #: two toxic labels on a host of mixed ones, one on a host that a rule allows, clean and null ones
     pd.DataFrame({"doc_id": [12, 13, 6, 0, 18, 2, 99], "quality": 1, "toxic": pd.array([1, 0, 1, 0, 1, None, 1], dtype="Int64")}).to_parquet(tmp_path / "labels.parquet")
     got = url_filter.op9_url_filter(spark, str(tmp_path)).toPandas()
     con = duckdb.connect()
-    for name in ("pages", "labels"):
+    for name in ("pages", "labels", "documents"):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
     want = con.execute(url_filter.OP9_SQL).df()
     same = lambda d: sorted(d.fillna("~")[["page_id", "host", "path", "rule", "verdict"]].values.tolist())
     assert same(got) == same(want)
     assert got.set_index("page_id").verdict[12] == "block"
+    found = {r.word for r in url_filter.cue_words(*[spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels")]).collect()}
+    assert "awful" in found and "nasty" not in found and "clean" not in found
 
 
 @pytest.mark.parametrize("shards", [1, 3])
