@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.identity import with_row_index
+
 
 def hash_order(seed: str, *keys: str) -> Column:
     """A pseudo-random but fixed sort key."""
@@ -84,32 +86,9 @@ def apportion(shares: DataFrame, share: str, name: str, total: int) -> DataFrame
     return floors.withColumn("quota", F.col("_floor") + F.when(rank <= left, 1).otherwise(0)).drop("_exact", "_floor")
 
 
-def epoch_blocks(sizes: DataFrame, steps: int, block: int, seed: str) -> DataFrame:
-    """(task, step, slot, row_index): seeded permutations of 0..size-1 one after another, cut in
-    blocks. Within a block of a task with size >= block no row comes twice: a row that the
-    previous epoch already gave to the block moves behind the next epoch's other rows.
-
-    sizes: task, size (a row per task). One group per task holds its own schedule of
-    steps * block numbers."""
-    import numpy as np
-    import pandas as pd
-
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        task, size = part["task"].iloc[0], int(part["size"].iloc[0])
-        need, out, epoch = steps * block, [], 0
-        while len(out) < need:
-            h = [hashlib.sha256(f"{seed}:{task}:{epoch}:{i}".encode()).digest() for i in range(size)]
-            perm = sorted(range(size), key=h.__getitem__)
-            filled = len(out) % block
-            if size >= block and filled:
-                taken = set(out[-filled:])
-                room = block - filled
-                head = [i for i in perm if i not in taken][:room]
-                chosen = set(head)
-                perm = head + [i for i in perm if i not in chosen]
-            out += perm
-            epoch += 1
-        at = np.arange(need)
-        return pd.DataFrame({"task": task, "step": at // block, "slot": at % block, "row_index": out[:need]})
-
-    return sizes.groupBy("task").applyInPandas(build, "task string, step long, slot long, row_index long")
+def exact_share(df: DataFrame, order: list[str], share: float) -> DataFrame:
+    """``df`` with ``chosen``: true for the first round(share * rows) rows by ``order`` (halves to even). Places come from ranges
+    and counts per range."""
+    placed = with_row_index(df, order, "_place")
+    n = placed.count()
+    return placed.withColumn("chosen", F.col("_place") < round(n * share)).drop("_place")

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.operators.sampling import apportion, draw_category, epoch_blocks, first_k, hash_order, stratified, unit
+from sluice.functions.numeric import linear_shift
+from sluice.functions.quantiles import logit_normal_draw, normal_quantile_sql
+from sluice.operators.epochs import epoch_slots
+from sluice.operators.identity import with_row_index
+from sluice.operators.sampling import apportion, draw_category, exact_share, first_k, hash_order, stratified, unit
 from sluice.plans.catalog import Tables, query
 from sluice.sources.offsets import read_row_range
 
 
+_UNIT = "(('0x' || left(sha256('{}:' || doc_id), 13))::BIGINT / 4503599627370496.0)"
+
+
 @query("""SELECT doc_id, CASE WHEN d < 0.3 THEN 'i2i' WHEN d < 0.3 + 0.5 THEN 'r2v' ELSE 'both' END AS category FROM (
   SELECT doc_id, ('0x' || left(sha256('seed:' || doc_id), 13))::BIGINT / 4503599627370496.0 AS d FROM documents)""")
 def category_draw(t: Tables) -> DataFrame:
@@ -48,11 +55,11 @@ def stratified_select(t: Tables) -> DataFrame:
     return stratified(rows, ["lang"], "refs", "walk", 6).select("lang", "doc_id", "refs", "pick")
 
 
-@query("""SELECT step, CASE WHEN row_number() OVER (ORDER BY sha256('steps:' || step), step) <= 300 THEN 'i2i' ELSE 'r2v' END AS task FROM (SELECT unnest(range(1000)) AS step)""")
+@query("""SELECT event_id AS step, CASE WHEN row_number() OVER (ORDER BY sha256('steps:' || event_id), event_id) <= round_even(count(*) OVER () * 0.3, 0) THEN 'i2i' ELSE 'r2v' END AS task FROM events""")
 def ratio_schedule(t: Tables) -> DataFrame:
-    """1,000 steps, exactly 30 % of them of the first task, in hashed order."""
-    rank = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("steps:"), F.col("step")), 256), "step"))
-    return t.spark.range(1000).select(F.col("id").alias("step")).select("step", F.when(rank <= 300, "i2i").otherwise("r2v").alias("task"))
+    """A step per event, exactly 30 % of them of the first task, in hashed order."""
+    steps = t.events.select(F.col("event_id").alias("step")).withColumn("h", F.sha2(F.concat(F.lit("steps:"), F.col("step").cast("string")), 256))
+    return exact_share(steps, ["h", "step"], 0.3).select("step", F.when(F.col("chosen"), "i2i").otherwise("r2v").alias("task"))
 
 
 @query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), e AS (SELECT source, n, n * 10007.0 / (SELECT sum(n) FROM c) AS x FROM c),
@@ -64,11 +71,33 @@ def largest_remainder(t: Tables) -> DataFrame:
     return apportion(sizes, "n", "source", 10_007).select("source", "n", "quota")
 
 
+BLOCK = 16
+
+
+def _epochs(t: Tables) -> DataFrame:
+    """Slots of every language's documents, in blocks of 16, over three and a half epochs."""
+    sizes = t.documents.groupBy(F.col("lang").alias("task")).agg(F.count(F.lit(1)).alias("size"))
+    return epoch_slots(sizes.withColumn("steps", F.ceil(F.col("size") * 3.5 / BLOCK)), BLOCK, "epochs")
+
+
 @query()
 def epoch_stream_blocks(t: Tables) -> DataFrame:
-    """Block-unique epochs of two tasks; its invariants are tested, as SQL has no such walk."""
-    sizes = t.spark.createDataFrame([("i2i", 37), ("r2v", 50)], "task string, size long")
-    return epoch_blocks(sizes, 20, 8, "epochs")
+    """Block-unique epochs of every language; their invariants are the next query and tests, as SQL has no such walk."""
+    return _epochs(t)
+
+
+@query(f"""WITH s AS (SELECT lang AS task, count(*) AS n, ceil(count(*) * 3.5 / {BLOCK})::BIGINT AS steps FROM documents GROUP BY 1),
+e AS (SELECT task, n, steps, unnest(range(ceil(steps * {BLOCK} / n)::BIGINT)) AS epoch FROM s)
+SELECT task, epoch, least(n, steps * {BLOCK} - epoch * n) AS slots, least(n, steps * {BLOCK} - epoch * n) AS distinct_rows, CASE WHEN n >= {BLOCK} THEN 0 END AS repeats_in_blocks FROM e""")
+def epoch_stream_invariants(t: Tables) -> DataFrame:
+    """Of every epoch: its slots, its different rows, and how many slots repeat a row of their block."""
+    slots = _epochs(t)
+    n = t.documents.groupBy(F.col("lang").alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    rows = slots.join(F.broadcast(n), "task").withColumn("epoch", F.floor((F.col("step") * BLOCK + F.col("slot")) / F.col("n")))  # a row per language
+    in_block = rows.groupBy("task", "step", "row_index").agg(F.count(F.lit(1)).alias("c"), F.min("epoch").alias("epoch")).groupBy("task", "epoch").agg(F.sum(F.col("c") - 1).alias("repeats"))
+    per_row = rows.groupBy("task", "epoch", "row_index").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    epochs = per_row.groupBy("task", "epoch").agg(F.sum("c").alias("slots"), F.count(F.lit(1)).alias("distinct_rows"), F.first("n").alias("n"))
+    return epochs.join(in_block, ["task", "epoch"], "left").select("task", "epoch", "slots", "distinct_rows", F.when(F.col("n") >= BLOCK, F.coalesce("repeats", F.lit(0))).cast("int").alias("repeats_in_blocks"))
 
 
 @query("""SELECT vec_id, i::INT AS i, x FROM (SELECT vec_id, i, x, row_number() OVER (PARTITION BY vec_id ORDER BY sha256('keep:' || vec_id || ':' || i), i) AS r FROM (
@@ -102,10 +131,20 @@ def offset_limit(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'en'").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(5).limit(20)
 
 
-@query("SELECT step, (slot // 4) AS microstep, slot % 4 AS rank FROM (SELECT unnest(range(100)) AS step), (SELECT unnest(range(8)) AS slot)")
+@query("SELECT doc_id, i // 8 AS step, i % 8 // 4 AS microstep, i % 4 AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('slots:' || doc_id), doc_id) - 1 AS i FROM documents)")
 def rank_slots(t: Tables) -> DataFrame:
-    rows = t.spark.range(800).select(F.floor(F.col("id") / 8).alias("step"), (F.col("id") % 8).alias("slot"))
-    return rows.select("step", F.floor(F.col("slot") / 4).alias("microstep"), (F.col("slot") % 4).alias("rank"))
+    """The step, microstep and rank that take each document, two microsteps of four ranks a step, in hashed order."""
+    rows = with_row_index(t.documents.select("doc_id", hash_order("slots", "doc_id").alias("h")), ["h", "doc_id"], "i")
+    return rows.select("doc_id", F.floor(F.col("i") / 8).alias("step"), F.floor(F.col("i") % 8 / 4).alias("microstep"), (F.col("i") % 4).alias("rank"))
+
+
+@query(f"""SELECT doc_id, round(u, 9) AS u, round(CASE WHEN w > 0.1 THEN least(1.0, greatest(0.0, CASE WHEN raw >= 0.001 THEN raw ELSE 0.002 - raw END)) ELSE 0.999 * o + 0.001 END, 7) AS timestep
+FROM (SELECT *, (1 / (1 + exp(-({normal_quantile_sql('u')} + mu))) - 1 / (1 + exp(-(mu - 2.5758)))) / (1 / (1 + exp(-(mu + 3.0902))) - 1 / (1 + exp(-(mu - 2.5758)))) AS raw
+FROM (SELECT doc_id, 0.95 + 1.1 / 3072 * (n_chars - 1024) AS mu, greatest({_UNIT.format('step')}, 1e-12) AS u, {_UNIT.format('flat')} AS o, {_UNIT.format('mix')} AS w FROM documents))""")
+def logit_normal_draws(t: Tables) -> DataFrame:
+    """A timestep of each document: shifted by its length, stretched, reflected, and uniform for a tenth of them."""
+    docs = t.documents.select("doc_id", linear_shift(F.col("n_chars"), (1024, 0.95), (4096, 2.05)).alias("mu"), F.greatest(unit("step", "doc_id"), F.lit(1e-12)).alias("u"), unit("flat", "doc_id").alias("o"), unit("mix", "doc_id").alias("w"))
+    return docs.select("doc_id", F.round("u", 9).alias("u"), F.round(logit_normal_draw(F.col("u"), F.col("o"), F.col("w"), F.col("mu")), 7).alias("timestep"))
 
 
 @query("SELECT doc_id, i FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i BETWEEN 25 AND 60")
