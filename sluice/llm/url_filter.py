@@ -40,6 +40,8 @@ HASHES = 5
 #: A cue word is so many times as frequent in toxic documents as in clean ones; a page is marked by so many different cue words.
 CUE_RATIO = 8
 CUES = 2
+#: Labelled rows that cue words are taken from, about.
+SAMPLE = 20_000
 
 #: Fixed rules of the query: (verdict, rule).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -217,21 +219,25 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
 
 
-def cue_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """word: those in a tenth of all labelled toxic documents or more, and CUE_RATIO times as often in these as in clean ones."""
-    marked = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")), "doc_id").where("toxic is not null")
-    marked = keep(marked.select("toxic", words_of(F.col("text")).alias("words")), "labelled_words")
+def cue_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """word: those in a tenth of the labelled toxic documents or more, and CUE_RATIO times as often in these as in clean ones.
+    About ``sample`` labelled rows are looked at, all if there are no more; so texts are not shuffled."""
+    known = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
+    share = min(1.0, sample / max(1, known.count()))
+    some = F.broadcast(known.where(F.pmod(F.xxhash64(F.lit("cue"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))  # about ``sample`` rows
     toxic, clean = F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))
-    all_t, all_c = marked.agg(toxic, clean).first()
-    each = marked.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(toxic.alias("t"), clean.alias("c"))
-    return each.where((F.col("t") > 0) & (F.col("t") * 10 >= all_t) & (F.col("t") * F.lit(all_c) >= F.col("c") * (CUE_RATIO * all_t))).select("word")
+    all_t, all_c = docs.select("doc_id").join(some, "doc_id").agg(toxic, clean).first()
+    each = docs.select("doc_id", "text").join(some, "doc_id").select("toxic", F.explode(words_of(F.col("text"))).alias("word"))
+    found = each.groupBy("word").agg(toxic.alias("t"), clean.alias("c")).where((F.col("t") > 0) & (F.col("t") * 10 >= all_t) & (F.col("t") * F.lit(all_c) >= F.col("c") * (CUE_RATIO * all_t)))
+    return keep(found.select("word"), "cues")
 
 
 def listed_hosts(pages: DataFrame, cues: DataFrame) -> DataFrame:
     """The query's list, from the pages themselves: hosts on which pages with CUES or more different cue words are more
     frequent than on all. pages: url, html."""
-    rows = keep(split_url(pages.select("page_id", "url", "html")).where("host <> ''").select("host", F.monotonically_increasing_id().alias("row"), words_of(F.col("html")).alias("words")), "page_words")
-    hits = rows.select("host", "row", F.explode("words").alias("word")).join(cues, "word", "left_semi").groupBy("host", "row").count().where(F.col("count") >= CUES)
+    rows = split_url(pages.select("url", "html")).where("host <> ''")
+    words = rows.withColumn("row", F.monotonically_increasing_id()).select("host", "row", F.explode(words_of(F.col("html"))).alias("word"))
+    hits = words.join(cues, "word", "left_semi").groupBy("host", "row").count().where(F.col("count") >= CUES)
     bad = hits.groupBy("host").agg(F.count(F.lit(1)).alias("t"))
     of_host = keep(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(bad, "host", "left").select("host", "n", F.coalesce("t", F.lit(0)).alias("t")), "hosts")
     all_t, all_n = of_host.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
