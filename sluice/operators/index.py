@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.identity import with_row_index
+from sluice.operators.ranges import folded
 
 
 def line_index(manifest: DataFrame, order: list[str], line: Column) -> DataFrame:
@@ -56,10 +57,17 @@ def marker_problem(marker: dict[str, Column], expected: dict[str, Column]) -> Co
 def merge_problems(rows: DataFrame, shards: DataFrame) -> DataFrame:
     """What is wrong with shards before a merge: rows outside the shard's range or out of order, and counts that
     don't equal the marker's. rows: shard, position (in its file), row_index; shards: shard, start, end, n_rows."""
-    before = F.lag("row_index").over(Window.partitionBy("shard").orderBy("position"))
-    met = rows.withColumn("_before", before).join(shards, "shard")
-    return met.groupBy("shard").agg(
-        F.count_if((F.col("row_index") < F.col("start")) | (F.col("row_index") >= F.col("end"))).alias("outside"),
-        F.count_if(F.col("row_index") <= F.col("_before")).alias("disordered"),
-        (F.count(F.lit(1)) - F.max("n_rows")).alias("surplus"),
-    )
+    def columns(w):
+        return {"_before": F.lag("row_index").over(w), "_at": F.row_number().over(w)}
+
+    summary = {"n": F.count(F.lit(1)), "outside": F.count_if((F.col("row_index") < F.col("start")) | (F.col("row_index") >= F.col("end"))), "disordered": F.count_if(F.col("row_index") <= F.col("_before")), "first": F.min_by("row_index", "_at"), "last": F.max_by("row_index", "_at")}
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("n"), zero.alias("outside"), zero.alias("disordered"), F.lit(None).cast("long").alias("last"))
+
+    def combine(acc, part):
+        falls = F.coalesce((part["first"] <= acc["last"]).cast("long"), zero)
+        return F.struct((acc["n"] + part["n"]).alias("n"), (acc["outside"] + part["outside"]).alias("outside"), (acc["disordered"] + part["disordered"] + falls).alias("disordered"), part["last"].alias("last"))
+
+    met = rows.join(F.broadcast(shards), "shard")  # a row per shard
+    got = folded(met, ["shard", "n_rows"], ["position"], columns, summary, start, combine, "r")
+    return got.select("shard", F.col("r.outside").alias("outside"), F.col("r.disordered").alias("disordered"), (F.col("r.n") - F.col("n_rows")).alias("surplus"))
