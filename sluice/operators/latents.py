@@ -36,13 +36,13 @@ def audio_bounds(i: Column, hop: int, rate: int, stride: int) -> tuple[Column, C
 
 def linear_quadratic(step: Column, steps: Column, threshold: float = 0.025) -> Column:
     """Noise level of a schedule that falls linearly to 1 - threshold in half its steps, then along the
-    parabola that joins on with the same slope and reaches 0 at the end."""
+    parabola that joins on with the same slope and reaches 0 at the end. One step goes from 1 to 0 at once."""
     line = F.floor(steps / 2)
     rest = steps - line
-    slope = threshold / line
+    slope = F.try_divide(F.lit(threshold), line)  # null for one step
     bend = (1 - threshold - slope * rest) / (rest * rest)
     past = step - line
-    return F.when(step >= steps, 0.0).when(step <= line, 1 - slope * step).otherwise(1 - threshold - slope * past - bend * past * past)
+    return F.when(step >= steps, 0.0).when(step <= 0, 1.0).when(step <= line, 1 - slope * step).otherwise(1 - threshold - slope * past - bend * past * past)
 
 
 def euler(sample: Column, denoised: Column, sigma: Column, sigma_next: Column) -> Column:

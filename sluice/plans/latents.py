@@ -65,11 +65,11 @@ def audio_latent_timings(t: Tables) -> DataFrame:
     return rows.select("p_partkey", "i", F.round(start, 6).alias("start"), F.round(stop, 6).alias("stop"))
 
 
-@query("""SELECT p_partkey, step, round(CASE WHEN step = n THEN 0.0 WHEN step <= n // 2 THEN 1 - step * 0.025 / (n // 2) ELSE 1 - (step * 0.025 / (n // 2) + ((n // 2) - 0.025 * n) / ((n // 2) * (n - n // 2) * (n - n // 2)) * (step - n // 2) * (step - n // 2)) END, 8)::DOUBLE AS sigma
-FROM (SELECT p_partkey, n, unnest(range(n + 1)) AS step FROM (SELECT p_partkey, 2 + p_size AS n FROM part))""")
+@query("""SELECT p_partkey, step, round(CASE WHEN step = n THEN 0.0 WHEN step = 0 THEN 1.0 WHEN step <= n // 2 THEN 1 - step * 0.025 / (n // 2) ELSE 1 - (step * 0.025 / (n // 2) + ((n // 2) - 0.025 * n) / ((n // 2) * (n - n // 2) * (n - n // 2)) * (step - n // 2) * (step - n // 2)) END, 8)::DOUBLE AS sigma
+FROM (SELECT p_partkey, n, unnest(range(n + 1)) AS step FROM (SELECT p_partkey, p_size AS n FROM part))""")
 def linear_quadratic_schedule(t: Tables) -> DataFrame:
     """Schedules of as many steps as a part is large, linear first and then quadratic."""
-    rows = t.part.select("p_partkey", (F.col("p_size") + 2).alias("n")).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    rows = t.part.select("p_partkey", F.col("p_size").alias("n")).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n"))))
     return rows.select("p_partkey", "step", F.round(L.linear_quadratic(F.col("step"), F.col("n")), 8).alias("sigma"))
 
 

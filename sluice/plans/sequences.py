@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.ranges import numbered
 from sluice.plans.catalog import Tables, query
 
 
@@ -61,10 +62,16 @@ def latest_by_suffix(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.max_by("doc_id", F.struct(F.col("n_chars") % 1000, "doc_id")).alias("latest"))
 
 
-@query("SELECT rank, i * 4 + rank AS item, i * 4 + rank < 30 AS save FROM (SELECT unnest(range(4)) AS rank), (SELECT unnest(range(8)) AS i)")
+@query("""WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT source, i % 4 AS rank, i // 4 AS round, doc_id, true AS save FROM d
+UNION ALL SELECT source, i % 4, i // 4, (SELECT max(doc_id) FROM d WHERE d.source = n.source), false FROM n, unnest(range(n, ceil(n / 4.0)::BIGINT * 4)) AS x(i)""")
 def work_split_padded(t: Tables) -> DataFrame:
-    """30 items round-robin over four ranks; padding rows are not saved."""
-    return t.spark.range(32).select((F.col("id") % 4).alias("rank"), F.col("id").alias("item"), (F.col("id") < 30).alias("save"))
+    """Each source's documents round-robin over four ranks; ranks without one in the last round repeat the last document and do not save it."""
+    rows = numbered(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], "i")
+    sizes = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("doc_id"))
+    short = sizes.where(F.col("n") % 4 > 0).withColumn("i", F.explode(F.sequence("n", F.ceil(F.col("n") / 4) * 4 - 1)))  # three a source at most
+    every = rows.select("source", "i", "doc_id", F.lit(True).alias("save")).unionAll(short.select("source", "i", "doc_id", F.lit(False)))
+    return every.select("source", (F.col("i") % 4).alias("rank"), F.floor(F.col("i") / 4).alias("round"), "doc_id", "save")
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.quality = 1 AND d.doc_id % 2 = 0 THEN 'skip' WHEN l.quality = 1 THEN 'fail_complete' WHEN l.quality = 0 AND d.doc_id % 3 <> 0 THEN 'fail_partial' ELSE 'run' END AS status

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators import temporal as T
+from sluice.functions.quantiles import beta_sigmas
 from sluice.plans.catalog import Tables, query
 
 
@@ -68,23 +69,34 @@ def blend_masks(t: Tables) -> DataFrame:
     return rows.select("p_partkey", "i", F.round(T.trapezoid(F.col("i"), F.col("p_size"), F.lit(3), F.lit(3)), 6).alias("weight"))
 
 
-@query("""SELECT f * 64 + h * 8 + w AS patch, greatest(0, f * 8 + 1 - 8) AS t_start, greatest(0, (f + 1) * 8 + 1 - 8) AS t_end, h * 32 AS y_start, (h + 1) * 32 AS y_end, w * 32 AS x_start, (w + 1) * 32 AS x_end
-FROM (SELECT unnest(range(16)) AS f), (SELECT unnest(range(8)) AS h), (SELECT unnest(range(8)) AS w)""")
+@query("""SELECT p_partkey AS patch, greatest(0, f * 8 + 1 - 8) AS t_start, greatest(0, (f + 1) * 8 + 1 - 8) AS t_end, h * 32 AS y_start, (h + 1) * 32 AS y_end, w * 32 AS x_start, (w + 1) * 32 AS x_end
+FROM (SELECT p_partkey, p_partkey // 64 AS f, p_partkey // 8 % 8 AS h, p_partkey % 8 AS w FROM part)""")
 def patch_bounds_pixels(t: Tables) -> DataFrame:
-    """Pixel bounds of every patch of a 16 x 8 x 8 grid; the first covers one frame."""
-    rows = t.spark.range(16 * 64).select(F.col("id").alias("patch"), F.floor(F.col("id") / 64).alias("f"), F.floor(F.col("id") / 8 % 8).alias("h"), (F.col("id") % 8).alias("w"))
+    """Pixel bounds of the patch of each part's number in a grid of 8 x 8 a frame; the first covers one frame."""
+    key = F.col("p_partkey")
+    rows = t.part.select(key.alias("patch"), F.floor(key / 64).alias("f"), (F.floor(key / 8) % 8).alias("h"), (key % 8).alias("w"))
     (t0, t1), (y0, y1), (x0, x1) = T.patch_bounds(F.col("f"), 8, True), T.patch_bounds(F.col("h"), 32), T.patch_bounds(F.col("w"), 32)
     return rows.select("patch", t0.alias("t_start"), t1.alias("t_end"), y0.alias("y_start"), y1.alias("y_end"), x0.alias("x_start"), x1.alias("x_end"))
 
 
-@query("""WITH s AS (SELECT i, CASE WHEN i = 20 THEN 0.0 ELSE exp(1.1) / (exp(1.1) + (1 / (1.0 - i / 20.0) - 1)) END AS sigma FROM (SELECT unnest(range(21)) AS i))
-SELECT i AS step, round(CASE WHEN sigma = 0 THEN 0.0 ELSE 1 - (1 - sigma) * (1 - 0.1) / (1 - (SELECT min(sigma) FROM s WHERE sigma > 0)) END, 8)::DOUBLE AS sigma FROM s""")
+@query("""WITH s AS (SELECT p_partkey, p_size AS n, unnest(range(p_size + 1)) AS i FROM part), g AS (SELECT *, CASE WHEN i = n THEN 0.0 ELSE exp(1.1) / (exp(1.1) + (1 / (1.0 - i / n::DOUBLE) - 1)) END AS sigma FROM s)
+SELECT p_partkey, i AS step, round(CASE WHEN sigma = 0 THEN 0.0 WHEN n = 1 THEN sigma ELSE 1 - (1 - sigma) * (1 - 0.1) / (1 - min(sigma) FILTER (sigma > 0) OVER (PARTITION BY p_partkey)) END, 8)::DOUBLE AS sigma FROM g""")
 def sigma_schedule(t: Tables) -> DataFrame:
-    """A shifted schedule of 20 steps, stretched to a terminal 0.1."""
-    rows = t.spark.range(21).select(F.col("id").alias("step"), T.shifted_sigma(1.0 - F.col("id") / 20.0, 1.1).alias("s"))
-    last = rows.where("s > 0").agg(F.min("s").alias("last"))
-    met = rows.join(F.broadcast(last))  # one row
-    return met.select("step", F.round(F.when(F.col("s") == 0, 0.0).otherwise(T.stretched(F.col("s"), F.col("last"), 0.1)), 8).alias("sigma"))
+    """Shifted schedules of as many steps as a part is large, stretched to a terminal 0.1; one step is not stretched."""
+    shifted = lambda i, n: T.shifted_sigma(1.0 - i / n, 1.1)
+    n = F.col("p_size")
+    last = shifted(n - 1, n)
+    rows = t.part.select("p_partkey", "p_size").withColumn("step", F.explode(F.sequence(F.lit(0), n)))
+    s = shifted(F.col("step"), n)
+    return rows.select("p_partkey", "step", F.round(F.when(s == 0, 0.0).when(n == 1, s).otherwise(T.stretched(s, last, 0.1)), 8).alias("sigma"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size AS n, unnest(range(p_size)) AS i FROM part), k AS (SELECT DISTINCT p_partkey, round_even(round(sin(pi() * (1 - i / n::DOUBLE) / 2) * sin(pi() * (1 - i / n::DOUBLE) / 2), 11) * 9999, 0)::BIGINT AS k FROM s),
+r AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY k DESC) - 1 AS step, exp(2.37) / (exp(2.37) + (10000.0 / (k + 1) - 1)) AS sigma FROM k)
+SELECT p_partkey, step, round(sigma, 8)::DOUBLE AS sigma FROM r UNION ALL SELECT p_partkey, max(step) + 1, 0.0 FROM r GROUP BY 1""")
+def beta_schedule(t: Tables) -> DataFrame:
+    """Schedules by quantiles of beta(1/2, 1/2), whose closed form the SQL is; tests have other parameters."""
+    return t.part.select("p_partkey", F.posexplode(beta_sigmas(F.col("p_size"), 0.5, 0.5)).alias("step", "s")).select("p_partkey", "step", F.round("s", 8).alias("sigma"))
 
 
 @query("SELECT vec_id, array_to_string(list_transform(range(10), lambda i: CASE WHEN embedding[(floor(i * len(embedding) / 10.0)::INT) + 1] > 0.05 THEN '1' ELSE '0' END), '') AS mask FROM embeddings")
@@ -108,8 +120,10 @@ def crop_risk(t: Tables) -> DataFrame:
     return rows.select("p_partkey", "w", "h", F.round(scale, 6).alias("scale"), F.round(832.0 * 480 / (F.col("w") * scale * F.col("h") * scale), 6).alias("retained"), (scale > 1).alias("upscaled"))
 
 
-@query("""SELECT s, CASE WHEN ends_with(s, 's') THEN replace(s, 's', '')::DOUBLE WHEN contains(s, ':') THEN split_part(s, ':', 1)::DOUBLE * 3600 + split_part(s, ':', 2)::DOUBLE * 60 + split_part(s, ':', 3)::DOUBLE ELSE s::DOUBLE END AS seconds
-FROM (SELECT unnest(['123', '12.5s', '01:02:03.5', '00:00:10']) AS s)""")
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%H:%M:%S.%g') WHEN 1 THEN value::DECIMAL(18, 2)::VARCHAR || 's' ELSE (user_id * 10)::VARCHAR END AS code,
+  round(CASE event_id % 3 WHEN 0 THEN (epoch_us(ts) // 1000) % 86400000 / 1000.0 WHEN 1 THEN value::DECIMAL(18, 2)::DOUBLE ELSE user_id * 10.0 END, 6)::DOUBLE AS seconds FROM events""")
 def timecode_parse(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("123",), ("12.5s",), ("01:02:03.5",), ("00:00:10",)], "s string")
-    return rows.select("s", T.timecode_seconds(F.col("s")).alias("seconds"))
+    """Clock times, seconds and frame numbers of the events."""
+    kind = F.col("event_id") % 3
+    code = F.when(kind == 0, F.date_format("ts", "HH:mm:ss.SSS")).when(kind == 1, F.concat(F.col("value").cast("decimal(18,2)").cast("string"), F.lit("s"))).otherwise((F.col("user_id") * 10).cast("string"))
+    return t.events.select("event_id", code.alias("code")).select("event_id", "code", F.round(T.timecode_seconds(F.col("code")), 6).alias("seconds"))

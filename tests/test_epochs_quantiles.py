@@ -104,3 +104,10 @@ def test_draws_have_their_moments(spark):
     mean = statistics.fmean(min(1.0, max(0.0, x if x >= 1e-3 else 2e-3 - x)) for x in raw)
     assert got[0] == pytest.approx(mean, abs=0.005) and 0 <= got[1] and got[2] <= 1
     assert got[3] == pytest.approx(0.5005, abs=0.005) and got[4] == pytest.approx(0.9 * mean + 0.05005, abs=0.01)
+
+
+def test_linear_quadratic_of_one_step(spark):
+    from sluice.operators.latents import linear_quadratic
+
+    rows = spark.createDataFrame([(0, 1), (1, 1), (0, 2), (1, 2), (2, 2), (0, 3), (3, 3)], "i int, n int").select(linear_quadratic(F.col("i"), F.col("n"))).collect()
+    assert [r[0] for r in rows] == pytest.approx([1.0, 0.0, 1.0, 0.975, 0.0, 1.0, 0.0])
