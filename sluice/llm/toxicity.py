@@ -5,9 +5,12 @@ folded). The model shares one weight vector across ordered thresholds,
 P(grade <= j) = sigmoid(theta_j - w.x), and gives the expected grade as severity.
 
 Training uses about ``SAMPLE`` labelled rows at most (a parameter; a share of the ids' hashes); features are chosen from counts over that sample,
-in which equal feature sets (copies) count once. Grades come from the labels alone: 0 clean, 1 toxic, 2 toxic in
-text of good quality (``quality`` 1), which reaches more readers than junk does; without that column, or without
-one of the kinds, there are two grades. Scoring reads
+in which equal feature sets (copies) count once. The order of grades is that of abuse: 0 is labelled clean, 1 is labelled toxic with few
+cue words, 2 with more of them than the median toxic row has. Cue words are words that are ``CUE_RATIO`` times as frequent in rows labelled
+toxic as in clean ones. Where all toxic rows have as many there are two grades.
+
+The cut from which a document is rejected is fitted, too: two models, each trained on one half of the sample, judge the other half, and
+the cut with the best F1 there is taken. Scoring reads
 every whole text, about 2 MB of texts (or one text) at a time.
 
 Defined results: null or empty text gets the score of no features; ids without a
@@ -20,8 +23,9 @@ whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +44,10 @@ LEAST_ROWS = 6
 LEAST_Z = 5.0
 STEPS = 400
 RIDGE = 5e-4
-#: P(grade >= 1) from which a document is rejected: of 0.1, 0.2, 0.3 and 0.5 the best F1 (0.82) on the half of
-#: the labels of the largest test table that did not train.
-REJECT = 0.3
+#: P(grade >= 1) from which a document is rejected where halves of the labels hold fewer than ``LEAST_JUDGED`` rows of a class.
+REJECT = 0.5
+LEAST_JUDGED = 5
+CUE_RATIO = 8
 PREFIX = 4
 
 _TRIM = re.compile(rb"^[^a-z\x80-\xff]+|[^a-z\x80-\xff]+$")
@@ -81,6 +86,9 @@ class OrdinalModel:
     features: dict[bytes, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = REJECT
+    #: on rows that did not train: precision, recall and F1 at the cut, and for each grade j the mean P(grade >= j) and its true share
+    held_out: dict[str, float] = field(default_factory=dict)
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1.."""
@@ -133,16 +141,68 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
 
 
 def labelled_grades(labels: DataFrame) -> DataFrame:
-    """_id, _grade of every id whose labels agree."""
-    good = (F.col("quality") == 1) if "quality" in labels.columns else F.lit(False)
+    """_id, _grade (0 clean, 1 toxic) of every id whose labels agree."""
     toxic = F.col("toxic").cast("int")
-    grade = F.when(toxic == 0, 0).when(toxic == 1, 1 + F.coalesce(good, F.lit(False)).cast("int"))
+    grade = F.when(toxic.isin(0, 1), toxic)
     rows = labels.select(F.col("doc_id").alias("_id"), grade.cast("int").alias("_grade")).where("_id is not null and _grade is not null")
     return rows.groupBy("_id").agg(F.min("_grade").alias("_grade"), F.max("_grade").alias("_most")).where("_grade = _most").drop("_most")
 
 
+def by_abuse(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """Grades 0, 1, 2 by how many different cue words a toxic row holds."""
+    held = np.bincount(cols, minlength=len(names)).astype(np.float64)
+    bad = np.bincount(cols, weights=toxic[rows], minlength=len(names))
+    word = np.array([not n.startswith(b"^") for n in names], dtype=bool)
+    cue = word & (bad * (len(toxic) - toxic.sum()) >= CUE_RATIO * (held - bad) * toxic.sum())
+    n = np.bincount(rows, weights=cue[cols], minlength=len(toxic))
+    middle = np.median(n[toxic == 1]) if toxic.any() else 0.0
+    return np.where(toxic == 1, 1 + (n > middle), 0).astype(np.int64)
+
+
+def _dense(grades: np.ndarray) -> np.ndarray:
+    """Grades that no row has are left out: 0 and 2 become 0 and 1."""
+    return np.unique(grades, return_inverse=True)[1].astype(np.int64)
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float, float]:
+    """(cut, precision, recall, F1) of the best F1 over cuts of 0.05, 0.1, ..; of equal ones the middle."""
+    cuts = np.arange(1, 20) / 20
+    hit = np.array([((p >= c) & (toxic == 1)).sum() for c in cuts], dtype=np.float64)
+    said = np.array([(p >= c).sum() for c in cuts], dtype=np.float64)
+    f1 = 2 * hit / np.maximum(said + toxic.sum(), 1)
+    at = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    k = int(at[len(at) // 2])
+    return float(cuts[k]), float(hit[k] / max(said[k], 1)), float(hit[k] / max(toxic.sum(), 1)), float(f1[k])
+
+
+def judged(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int) -> tuple[float, dict[str, float]]:
+    """(cut, report) from two models that judge the rows the other was trained on; halves go by a hash of the id."""
+    half = np.array([zlib.crc32(str(i).encode()) & 1 for i in ids.tolist()], dtype=np.int64)
+    toxic = (grades > 0).astype(np.int64)
+    levels = int(grades.max())
+    if min(np.bincount(half[toxic == k], minlength=2).min() for k in (0, 1)) < LEAST_JUDGED or any(len(np.unique(grades[half == h])) <= levels for h in (0, 1)):
+        return REJECT, {}
+    p = np.zeros((len(grades), levels))
+    for h in (0, 1):
+        mine = half == h
+        place = np.cumsum(mine) - 1
+        inside = mine[rows]
+        w, theta = fit_ordinal(place[rows[inside]], cols[inside], grades[mine], n_features)
+        score = np.bincount(rows, weights=w[cols], minlength=len(grades))
+        p[~mine] = OrdinalModel({}, w, theta).probabilities(score)[~mine]
+    cut, precision, recall, f1 = best_cut(p[:, 0], toxic)
+    report = {"rows": len(grades), "precision": precision, "recall": recall, "f1": f1}
+    for j in range(levels):
+        report |= {f"expected_{j + 1}": float(p[:, j].mean()), f"share_{j + 1}": float((grades > j).mean())}
+    severity = p.sum(axis=1)
+    low, high = severity[grades == 1], np.sort(severity[grades == 2]) if levels == 2 else np.zeros(0)
+    if len(low) and len(high):  # the share of pairs of a milder and a worse row in which the worse one has the higher severity
+        report["ordered"] = float((len(high) - np.searchsorted(high, low, side="right")).sum() / (len(low) * len(high)))
+    return cut, report
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> OrdinalModel:
-    """docs: doc_id, text; labels: doc_id, toxic (0 or 1) and, if there, quality (0 or 1)."""
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
     chosen = labelled_grades(labels)
     n = chosen.count()
     if n > sample:
@@ -184,14 +244,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     at = np.repeat(np.arange(len(data)), sizes)
     cols = np.concatenate(data.f.to_numpy()) if sizes.sum() else np.zeros(0, np.int64)
     cols = cols.astype(np.int64)
-    #: grades that no row has are left out: 0 and 2 become 0 and 1
-    grades = np.unique(data.grade.to_numpy(), return_inverse=True)[1].astype(np.int64)
+    names = [bytes(r.f) for r in kept]
+    grades = _dense(by_abuse(at, cols, (data.grade.to_numpy() > 0).astype(np.int64), names))
+    cut, report = judged(data.doc_id.to_numpy(), at, cols, grades, len(kept))
     w, theta = fit_ordinal(at, cols, grades, len(kept))
-    return OrdinalModel(known, w, theta)
+    return OrdinalModel(known, w, theta, cut, report)
 
 
-def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", reject: float = REJECT) -> DataFrame:
-    """doc_id, grade, severity (expected grade), p_toxic, rejected of every row."""
+def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", reject: float | None = None) -> DataFrame:
+    """doc_id, grade, severity (expected grade), p_toxic, rejected (from the model's cut on, or ``reject``) of every row."""
+    reject = model.cut if reject is None else reject
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +268,9 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", reject:
     return rows.mapInArrow(run, "doc_id long, grade int, severity double, p_toxic double, rejected boolean")
 
 
-def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float | None = None) -> DataFrame:
     """``docs`` without the rows that the model rejects; all columns stay."""
+    reject = model.cut if reject is None else reject
     share = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
