@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.session import kept
+from sluice.sources.offsets import hashed_paths, listed_files
 
 
 class PathPolicy:
@@ -62,26 +64,59 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
-def done_shards(spark: SparkSession, path: str) -> DataFrame:
-    """task, shard, fingerprint of published shards; none if there is no marker table yet."""
+MARKER = "task string, shard int, fingerprint string, n_rows long, accepted long, rejected long, reasons map<string,long>, files array<struct<name:string,size:long,sha256:string>>, at long"
+
+
+def _shard_files(spark: SparkSession, base: str) -> DataFrame:
+    """task, shard, files (name, size, sha256) of what lies in each shard's folder."""
+    if not _exists(spark, f"{base}/data"):
+        return spark.createDataFrame([], "task string, shard int, files array<struct<name:string,size:long,sha256:string>>")
+    found = hashed_paths(listed_files(spark, f"{base}/data"))
+    part = lambda key: F.url_decode(F.regexp_extract("file", f"/{key}=([^/]*)/", 1))
+    name = F.element_at(F.split("file", "/"), -1)
+    return found.groupBy(part("task").alias("task"), part("shard").cast("int").alias("shard")).agg(F.sort_array(F.collect_list(F.struct(name.alias("name"), "size", "sha256"))).alias("files"))
+
+
+def markers(spark: SparkSession, path: str) -> DataFrame:
+    """The last marker of each task, shard and fingerprint; none if there is no marker table yet."""
     marker = f"{path.rstrip('/')}/_markers"
-    schema = "task string, shard int, fingerprint string, n_rows long"
-    return spark.read.schema(schema).json(marker) if _exists(spark, marker) else spark.createDataFrame([], schema)
+    rows = spark.read.schema(MARKER).json(marker) if _exists(spark, marker) else spark.createDataFrame([], MARKER)
+    last = F.max_by(F.struct(*rows.columns), "at")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in ("task", "shard", "fingerprint")]).agg(last.alias("m")).select("m.*").drop("at")
+
+
+def done_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Markers of shards whose files are all there, with the hashes they had when the marker was written, and no others."""
+    base = path.rstrip("/")
+    now = _shard_files(spark, base).withColumnRenamed("files", "_files")
+    return markers(spark, base).join(now, ["task", "shard"], "left").where(F.col("files").eqNullSafe(F.col("_files"))).drop("_files")
 
 
 def publish_shards(df: DataFrame, path: str, fingerprint: str) -> int:
-    """Write rows (task, shard, ...) of shards without a marker of this fingerprint, then their
-    markers. Shards that are done are left as they are; returns the number written."""
+    """Write rows (task, shard, ...) of shards that are not done under this fingerprint, then their markers with row counts
+    (accepted ones are those without a ``reason``, if there is such a column) and file hashes. A shard whose marker and files differ is
+    written anew; done shards are left as they are. Rows are dealt by Spark's rebalancing, so a large shard is several files.
+    Returns the number of shards written."""
     spark = df.sparkSession
     base = path.rstrip("/")
-    done = done_shards(spark, base).where(F.col("fingerprint") == fingerprint).select("task", "shard").distinct()
-    todo = df.join(done, ["task", "shard"], "left_anti").withColumn("_fingerprint", F.lit(fingerprint))
-    counts = todo.groupBy("task", "shard").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("fingerprint", F.lit(fingerprint))
-    rows = counts.collect()  # a row per shard
-    if rows:
-        todo.repartition("task", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task", "shard").parquet(f"{base}/data")
-        spark.createDataFrame([(r.task, r.shard, r.fingerprint, r.n_rows) for r in rows], "task string, shard int, fingerprint string, n_rows long").coalesce(1).write.mode("append").json(f"{base}/_markers")
-    return len(rows)
+    done = kept(done_shards(spark, base).where(F.col("fingerprint") == fingerprint).select("task", "shard"), "done")
+    todo = kept(df.join(F.broadcast(done), ["task", "shard"], "left_anti"), "todo")  # a row per shard
+    reason = F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")
+    each = todo.groupBy("task", "shard", reason.alias("_reason")).agg(F.count(F.lit(1)).alias("_n"))
+    rejected = F.coalesce(F.sum(F.when(F.col("_reason").isNotNull(), F.col("_n"))), F.lit(0))
+    named = F.map_from_entries(F.collect_list(F.when(F.col("_reason").isNotNull(), F.struct("_reason", "_n"))))
+    counts = kept(each.groupBy("task", "shard").agg(F.sum("_n").alias("n_rows"), (F.sum("_n") - rejected).alias("accepted"), rejected.alias("rejected"), named.alias("reasons")), "counts")
+    written = counts.count()
+    if written:
+        todo.hint("rebalance", "task", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task", "shard").parquet(f"{base}/data")
+        marked = counts.join(_shard_files(spark, base), ["task", "shard"]).withColumn("fingerprint", F.lit(fingerprint)).withColumn("at", F.unix_micros(F.current_timestamp()))
+        marked.select(*[f.name for f in T._parse_datatype_string(MARKER)]).coalesce(1).write.mode("append").json(f"{base}/_markers")
+    return written
+
+
+def shard_counters(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
+    """Counters of all done shards of a build, a row each, from their markers alone."""
+    return done_shards(spark, path).where(F.col("fingerprint") == fingerprint).select("task", "shard", "n_rows", "accepted", "rejected", "reasons")
 
 
 def save_captions(df: DataFrame, path: str, kind: str) -> None:

@@ -11,6 +11,7 @@ from sluice.operators import publish as P
 from sluice.plans.catalog import Tables, query
 from sluice.session import shared_dir
 from sluice.sources import annotations as A
+from sluice.operators import generations as G
 from sluice.sources import discovery
 
 
@@ -76,10 +77,10 @@ def row_counts(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(found, "parquet long, jsonl long, exact long, csv_unknown boolean")
 
 
-@query("SELECT name, task, \"order\", least(s, 1000)::BIGINT AS task_start_row, least(s + n, 1000)::BIGINT AS task_end_row FROM (SELECT *, sum(n) OVER (PARTITION BY task ORDER BY \"order\") - n AS s FROM (SELECT 'src_nation' AS name, 'i2i' AS task, 0 AS \"order\", (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'src_part', 'r2v', 1, (SELECT count(*) FROM part) UNION ALL SELECT 'src_region', 'i2i', 2, (SELECT count(*) FROM region) UNION ALL SELECT 'src_supplier', 'r2v', 3, (SELECT count(*) FROM supplier)))")
+@query("SELECT name, task, \"order\", least(s, 1000)::BIGINT AS task_start_row, least(s + n, 1000)::BIGINT AS task_end_row FROM (SELECT *, sum(n) OVER (PARTITION BY task ORDER BY \"order\") - n AS s FROM (SELECT 'src_nation' AS name, 'i2i' AS task, 0 AS \"order\", (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'src_part', 'r2v', 1, (SELECT count(*) FROM part) UNION ALL SELECT 'src_region', 'i2i', 2, (SELECT count(*) FROM region) UNION ALL SELECT 'src_supplier', 'r2v', 3, (SELECT count(*) FROM supplier) UNION ALL SELECT 'src_orders', 'r2v', 4, (SELECT count(*) FROM orders))) WHERE s < 1000 AND n > 0")
 def discovered_sources(t: Tables) -> DataFrame:
-    """Row ranges of configured sources, with a cap of 1,000 rows a task (the feature's cap)."""
-    config = {"datasets": [{"name": f"src_{n}", "task": task, "path": f"{t.sf_dir}/{n}.parquet"} for n, task in (("nation", "i2i"), ("part", "r2v"), ("region", "i2i"), ("supplier", "r2v"))]}
+    """Row ranges of configured sources, with a cap of 1,000 rows a task (the feature's cap); sources beyond it are left out."""
+    config = {"datasets": [{"name": f"src_{n}", "task": task, "path": f"{t.sf_dir}/{n}.parquet"} for n, task in (("nation", "i2i"), ("part", "R2V"), ("region", "I2I"), ("supplier", "r2v"), ("orders", "r2v"))]}
     found = discovery.discover(config, lambda path: t.spark.read.parquet(path).count(), discovery.parse_tasks("R2V,i2i"), 1000)
     rows = [(s.name, s.task, s.order, s.task_start_row, s.task_end_row) for s in found]
     return t.spark.createDataFrame(rows, "name string, task string, `order` int, task_start_row long, task_end_row long")
@@ -145,23 +146,58 @@ def publish_round_trip(t: Tables) -> DataFrame:
     return both.groupBy("what").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query("SELECT lang AS task, (doc_id % 3)::INT AS shard, count(*) AS n_rows, false AS written_again FROM documents GROUP BY ALL")
+@query("SELECT lang AS task, (doc_id % 3)::INT AS shard, count(*) AS n_rows, true AS hashed, false AS written_again FROM documents GROUP BY ALL")
 def shard_resume(t: Tables) -> DataFrame:
-    """Shards with markers: a second publish of the same build writes nothing."""
+    """Shards with markers that hold their files' hashes: a second publish of the same build writes nothing."""
     path = _place(t)
     rows = t.documents.select(F.col("lang").alias("task"), (F.col("doc_id") % 3).cast("int").alias("shard"), "doc_id")
     P.publish_shards(rows, path, "f")
     again = P.publish_shards(rows, path, "f")
-    return P.done_shards(t.spark, path).select("task", "shard", "n_rows", F.lit(again > 0).alias("written_again"))
+    hashed = F.forall("files", lambda f: (F.length(f.sha256) == 64) & (f.size > 0)) & (F.size("files") > 0)
+    return P.done_shards(t.spark, path).select("task", "shard", "n_rows", hashed.alias("hashed"), F.lit(again > 0).alias("written_again"))
 
 
-@query("SELECT count(*) > 0 AS any_file, true AS all_hashed, true AS sizes_positive FROM nation")
-def artefact_hashes(t: Tables) -> DataFrame:
-    """SHA-256 and size of every file of a published table."""
+@query("SELECT lang AS task, count(*) AS raw, count(*) FILTER (n_chars % 5 > 0) AS accepted, count(*) FILTER (n_chars % 5 = 0) AS rejected FROM documents GROUP BY 1")
+def resumed_shard_counters(t: Tables) -> DataFrame:
+    """Counters of a build that ran in two parts, one of whose shards was damaged in between, merged from its markers."""
     path = _place(t)
-    t.nation.write.parquet(path)
-    files = P.hashed_files(t.spark, path)
-    return files.agg((F.count(F.lit(1)) > 0).alias("any_file"), F.bool_and(F.length("sha256") == 64).alias("all_hashed"), F.bool_and(F.col("size") > 0).alias("sizes_positive"))
+    rows = t.documents.select(F.col("lang").alias("task"), (F.col("doc_id") % 3).cast("int").alias("shard"), "doc_id", F.when(F.col("n_chars") % 5 == 0, "fifth").alias("reason"))
+    P.publish_shards(rows.where("shard < 2"), path, "f")
+    rows.where("shard = 0").limit(1).drop("task", "shard").write.mode("append").parquet(f"{path}/data/task=en/shard=0")  # a stray file
+    P.publish_shards(rows, path, "f")
+    return P.shard_counters(t.spark, path, "f").groupBy("task").agg(F.sum("n_rows").alias("raw"), F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+
+
+@query("SELECT 'accepted' AS artefact, count(*) AS n, sum(doc_id)::BIGINT AS ids, 1 AS generation FROM documents WHERE n_chars % 3 > 0 UNION ALL SELECT 'rejected', count(*), sum(doc_id)::BIGINT, 1 FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT 'counts', count(DISTINCT source), NULL, 1 FROM documents")
+def generation_round_trip(t: Tables) -> DataFrame:
+    """Several tables published as one generation; a second one that fails before its switch leaves them as they are."""
+    root = _place(t)
+    docs = t.documents.select("doc_id", "source", "n_chars")
+    with G.Generation(t.spark, root) as one:
+        one.stage("accepted", docs.where("n_chars % 3 > 0"))
+        one.stage("rejected", docs.where("n_chars % 3 = 0"), "json")
+        one.stage("counts", docs.groupBy("source").count())
+    try:
+        with G.Generation(t.spark, root) as two:
+            two.stage("accepted", docs.limit(1))
+            raise InterruptedError
+    except InterruptedError:
+        pass
+    now = G.Current(t.spark, root)
+    parts = [now.read(n).select(F.lit(n).alias("artefact"), F.lit(1).alias("one"), (F.col("doc_id") if n != "counts" else F.lit(None).cast("long")).alias("id")) for n in ("accepted", "rejected", "counts")]
+    both = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return both.groupBy("artefact").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.lit(len(now.history())).alias("generation"))
+
+
+@query("SELECT count(*) AS n_rows, true AS all_hashed, 0 AS changed FROM part")
+def artefact_hashes(t: Tables) -> DataFrame:
+    """A published table's rows, and whether its files are as their stored hashes say."""
+    root = _place(t)
+    with G.Generation(t.spark, root) as one:
+        one.stage("part", t.part)
+    now = G.Current(t.spark, root)
+    files = now.files()
+    return now.read("part").agg(F.count(F.lit(1)).alias("n_rows"), F.lit(all(len(f["sha256"]) == 64 for f in files)).alias("all_hashed"), F.lit(now.changed(content=True).count()).alias("changed"))
 
 
 @query("SELECT r_name || '.pt' AS rel, 2 AS n_roots FROM region WHERE r_regionkey > 0")

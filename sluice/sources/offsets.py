@@ -157,6 +157,16 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("sha256", pa.array(out, pa.string()))
 
 
+def hashed_paths(files: DataFrame) -> DataFrame:
+    """Rows of files (file, size, changed) with their SHA-256, read in pieces, a task per some files."""
+    return files.repartition(max(1, min(files.count(), 4096)), "file").mapInArrow(_hashes, "file string, size long, changed long, sha256 string")
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, changed) of the data files below a path."""
+    return _sources(spark, path)
+
+
 def _sources(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(_listed(path), "file string, size long, changed long")  # a row per file
 
@@ -164,14 +174,12 @@ def _sources(spark: SparkSession, path: str) -> DataFrame:
 def build_index(spark: SparkSession, path: str, to: str, fields: dict[str, str], range_bytes: int = RANGE_BYTES) -> None:
     """Store the index of the JSON lines below ``path`` in ``to``. fields: column name -> JSON path in the record."""
     files = _sources(spark, path)
-    n = max(1, files.count())
     lines = scan_line_ranges(spark, path, range_bytes)
     line = _checked(F.col("line"))
     entries = lines.select("file", "offset", "length", *[F.get_json_object(line, where).alias(name) for name, where in fields.items()])
     numbered = with_row_index(entries, ["file", "offset"], "row")
     numbered.repartitionByRange("row").sortWithinPartitions("row").write.parquet(f"{to}/entries")
-    kinds = "file string, size long, changed long, sha256 string"
-    hashed = files.repartition(n, "file").mapInArrow(_hashes, kinds)
+    hashed = hashed_paths(files)
     counts = spark.read.parquet(f"{to}/entries").groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row"))
     hashed.join(counts, "file", "left").select(F.lit(VERSION).alias("version"), "*").fillna(0, ["lines"]).write.parquet(f"{to}/sources")
 
@@ -180,7 +188,7 @@ def changed_files(spark: SparkSession, index: str, path: str, content: bool = Fa
     """Files (and why) that are not as they were when the index was stored; with ``content`` their hashes count, not their times."""
     now = _sources(spark, path)
     if content:
-        now = now.repartition(max(1, now.count()), "file").mapInArrow(_hashes, "file string, size long, changed long, sha256 string")
+        now = hashed_paths(now)
     what = ["size", "sha256" if content else "changed"]
     old = spark.read.parquet(f"{index}/sources")
     both = old.select("file", *[F.col(c).alias(f"old_{c}") for c in what]).join(now.select("file", *what), "file", "full")
