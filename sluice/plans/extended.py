@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions import numeric as N
 from sluice.operators import tokens as K
+from sluice.operators import stitching as Z
+from sluice.operators import visibility as Y
 from sluice.plans.catalog import Tables, query
 from sluice.sources.adapters import Settings, normalize
 
@@ -90,3 +92,26 @@ def selection_candidates(t: Tables) -> DataFrame:
     refs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("n_chars") % 6).cast("int"))), lambda i: i.cast("string"))
     refs = F.when(F.col("n_chars") % 6 == 0, F.array().cast("array<string>")).otherwise(refs)
     return t.documents.select("doc_id", selection_reason(F.col("text"), refs, F.lit("4"), 3000).alias("reason")).withColumn("reason", F.col("reason"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn AS p, role <> 'system' AS ok, role = 'assistant' AS img FROM conversations), v AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS n, p - row_number() OVER (PARTITION BY conv_id, img ORDER BY p) AS run FROM c WHERE ok),
+pre AS (SELECT q.conv_id, 'prefix' AS part, q.n, count(*) AS visible, sum(k.n) AS keys FROM v q JOIN v k ON q.conv_id = k.conv_id AND (k.n <= q.n OR (q.img AND k.img AND q.run = k.run)) GROUP BY ALL),
+l AS (SELECT conv_id, count(*) FILTER (ok) AS m, 1 + conv_id % 3 AS frames FROM c GROUP BY conv_id), b AS (SELECT conv_id, m, m + f * 320 AS base FROM l, unnest(range(frames)) AS x(f)),
+e AS (SELECT conv_id, 'evidence' AS part, base + i AS n, m + 256 AS visible, m * (m - 1) // 2 + 256 * base + 256 * 255 // 2 AS keys FROM b, unnest(range(256)) AS y(i)),
+u AS (SELECT conv_id, 'query' AS part, base + 256 + i AS n, m + 5 AS visible, m * (m - 1) // 2 + base + 256 + i + (SELECT sum(base + (2 * (i // 8) + r) * 16 + 2 * (i % 8) + d) FROM unnest(range(2)) AS r1(r), unnest(range(2)) AS d1(d)) AS keys FROM b, unnest(range(64)) AS y(i))
+SELECT conv_id, part, n::BIGINT AS n, visible::BIGINT AS visible, keys::BIGINT AS keys FROM pre UNION ALL SELECT * FROM e UNION ALL SELECT * FROM u""")
+def teacher_visibility(t: Tables) -> DataFrame:
+    """How many keys each token of a prefix with one to three frames sees, and the sum of their numbers, from lists of ranges."""
+    rows = t.conversations.select("conv_id", "turn", (F.col("role") != "system").alias("valid"), (F.col("role") == "assistant").alias("image"))
+    frames = rows.select("conv_id").distinct().withColumn("frames", (1 + F.col("conv_id") % 3).cast("int"))
+    got = Y.teacher_ranges(rows, frames, "conv_id", "turn", "valid", "image")
+    total = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + F.floor((r.start + r.end - 1) * (r.end - r.start) / 2))
+    return got.select("conv_id", "part", "n", Y.visible(F.col("ranges")).alias("visible"), total.alias("keys"))
+
+
+@query("""SELECT vec_id, i::INT AS cell, round(embedding[i + 1]::DOUBLE, 5) + 0.0 AS value, 1.0::DOUBLE AS total FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""")
+def stitched_tiles(t: Tables) -> DataFrame:
+    """Vectors cut into tiles of 10 that share 3 cells, and put together again with ramps from their neighbours."""
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    tiles = rows.select("vec_id", F.explode(Z.tile_bounds(F.size("v"), 10, 3)).alias("t"), "v").select("vec_id", "t.*", F.slice("v", F.col("t.start") + 1, F.col("t.end") - F.col("t.start")).alias("x"))
+    return Z.stitched(tiles, ["vec_id"], "x").select("vec_id", "cell", F.round("value", 5).alias("value"), F.round("total", 9).alias("total"))
