@@ -109,7 +109,7 @@ def teacher_visibility(t: Tables) -> DataFrame:
     return got.select("conv_id", "part", "n", Y.visible(F.col("ranges")).alias("visible"), total.alias("keys"))
 
 
-@query("""SELECT vec_id, i::INT AS cell, round(embedding[i + 1]::DOUBLE, 5) + 0.0 AS value, 1.0::DOUBLE AS total FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""")
+@query("""SELECT vec_id, i::INT AS cell, round(embedding[i + 1]::DOUBLE / (1 + 1e-8), 5) + 0.0 AS value, 1.0::DOUBLE AS total FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""")
 def stitched_tiles(t: Tables) -> DataFrame:
     """Vectors cut into tiles of 10 that share 3 cells, and put together again with ramps from their neighbours."""
     rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
