@@ -255,5 +255,5 @@ def test_pipeline_stages(spark, sf, tmp_path):
 def test_modules_have_queries():
     from sluice.llm import registry
 
-    assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in registry.QUERIES] and len(registry.QUERIES) == 10
+    assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in registry.QUERIES] and len(registry.QUERIES) == 13
     assert hmm.STATES > 1 and packing.SHARD_PIECES > 1
