@@ -61,8 +61,8 @@ def normal_quantile_sql(p: str) -> str:
     return f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN {inner} ELSE {outer} END)"
 
 
-#: Terms of the continued fraction and halvings of the interval: both leave errors below 1e-9 for parameters of 0.05 to 50.
-TERMS, HALVINGS = 80, 48
+#: Halvings of the interval. The continued fraction takes some terms more the larger its parameters are (of 0.05 to 50).
+HALVINGS = 42
 
 
 def _lower_beta(x: Column, a: float, b: float) -> Column:
@@ -79,7 +79,7 @@ def _lower_beta(x: Column, a: float, b: float) -> Column:
         #: 1 + even / (1 + odd / acc), but for m = 0, which has no even term
         return F.when(m == 0, 1 + odd / acc).otherwise(1 + even / (1 + odd / acc))
 
-    fraction = F.aggregate(F.sequence(F.lit(TERMS), F.lit(0), F.lit(-1)), F.lit(1.0), step)
+    fraction = F.aggregate(F.sequence(F.lit(16 + int(6 * math.sqrt(max(a, b)))), F.lit(0), F.lit(-1)), F.lit(1.0), step)
     return F.when(x <= 0, 0.0).otherwise(F.exp(front + a * F.log(x) + b * F.log(1 - x)) / fraction)
 
 

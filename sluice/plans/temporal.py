@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.operators import temporal as T
 from sluice.functions.quantiles import beta_sigmas
 from sluice.plans.catalog import Tables, query
+from sluice.session import kept
 
 
 @query("SELECT l_orderkey, l_linenumber, array_to_string(list_transform(range(9), lambda i: round_even(l_linenumber + i * l_quantity / 24.0, 0)::INT), ',') AS plan FROM lineitem")
@@ -96,7 +97,10 @@ r AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY k DES
 SELECT p_partkey, step, round(sigma, 8)::DOUBLE AS sigma FROM r UNION ALL SELECT p_partkey, max(step) + 1, 0.0 FROM r GROUP BY 1""")
 def beta_schedule(t: Tables) -> DataFrame:
     """Schedules by quantiles of beta(1/2, 1/2), whose closed form the SQL is; tests have other parameters."""
-    return t.part.select("p_partkey", F.posexplode(beta_sigmas(F.col("p_size"), 0.5, 0.5)).alias("step", "s")).select("p_partkey", "step", F.round("s", 8).alias("sigma"))
+    sizes = t.part.select("p_size").distinct().repartition("p_size")
+    schedules = kept(sizes.withColumn("sigmas", beta_sigmas(F.col("p_size"), 0.5, 0.5)), "schedules")  # one per number of steps
+    rows = t.part.select("p_partkey", "p_size").join(schedules, "p_size")
+    return rows.select("p_partkey", F.posexplode("sigmas").alias("step", "s")).select("p_partkey", "step", F.round("s", 8).alias("sigma"))
 
 
 @query("SELECT vec_id, array_to_string(list_transform(range(10), lambda i: CASE WHEN embedding[(floor(i * len(embedding) / 10.0)::INT) + 1] > 0.05 THEN '1' ELSE '0' END), '') AS mask FROM embeddings")
