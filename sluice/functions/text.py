@@ -115,3 +115,38 @@ def output_path(path: Column, root: str, out: str, suffix: str) -> Column:
     inside = path.startswith(root.rstrip("/") + "/")
     rel = F.when(inside, F.substr(path, F.lit(len(root.rstrip("/")) + 2))).otherwise(F.ltrim(path, F.lit("/")))
     return F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace(rel, r"\.[^./]*$", ""), F.lit(suffix))
+
+
+def stripped(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def stem_of_name(name: Column) -> Column:
+    """A file name without its last suffix; a leading or trailing dot makes no suffix."""
+    return F.regexp_replace(name, r"(?s)^(.+)\.[^.]+\z", "$1")
+
+
+def output_id(s: Column) -> Column:
+    """An id as a file name: runs of other characters become one underscore, dots, dashes and underscores go at both ends."""
+    return F.btrim(F.regexp_replace(stripped(s), "[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
+
+
+def output_id_problem(s: Column) -> Column:
+    """Why an id cannot name an output; null if it can."""
+    bare = stripped(s)
+    unsafe = bare.rlike(r"[/\\]") | bare.contains("..")
+    return F.when(bare == "", "empty_id").when(unsafe, "unsafe_id").when(bare.rlike(r"[\x00-\x1f\x7f]"), "control_character_in_id").when(output_id(s) == "", "no_safe_name")
+
+
+def normal_path(s: Column) -> Column:
+    """An absolute path without empty parts, ``.`` and ``..`` (links are not followed)."""
+    parts = F.filter(F.split(s, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
+
+
+def sample_dir(task: Column, key: Column, length: int = 72) -> Column:
+    """A sample's folder name: its task, the start of its key, and a digest of the whole key."""
+    plain = lambda c, other: F.coalesce(F.nullif(F.btrim(F.regexp_replace(c, "[^A-Za-z0-9_-]+", "_"), F.lit("_")), F.lit("")), F.lit(other))
+    return F.concat_ws("_", plain(task, "task"), F.substring(plain(key, "sample"), 1, length), F.substring(F.sha2(key, 256), 1, 12))

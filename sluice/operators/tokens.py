@@ -93,3 +93,17 @@ def collate(rows: DataFrame, batch: str, order: str, value: str, filler: Column)
     padded = F.concat(F.col(value), F.array_repeat(filler, F.col("_m") - F.size(value)))
     met = rows.join(longest, batch).select(batch, order, padded.alias(value))
     return met.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_x")).select(batch, F.col(f"_x.{value}").alias(value))
+
+
+def collated(rows: DataFrame, batch: str, order: list[str], fields: list[str], task: str = "task", shape: str = "shape", error: str = "error") -> DataFrame:
+    """Microbatches as lists by field, in ``order``, a row each: batch, n, errors, the fields' lists, problem.
+
+    A batch with samples that failed to load holds their errors only (its lists are null); else samples of several tasks or shapes
+    are a problem, and the batch has no lists either. Batches are of a microbatch's size, so a list is one, too."""
+    picked = F.struct(*order, *[F.col(f).alias(f"_v{i}") for i, f in enumerate(fields)], F.col(error).alias("_e"))
+    kinds = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1))))
+    got = rows.groupBy(batch).agg(F.array_sort(F.collect_list(picked)).alias("_s"), kinds(task).alias("_tasks"), kinds(shape).alias("_shapes"))
+    errors = F.filter(F.col("_s._e"), lambda e: e.isNotNull())
+    problem = F.when(F.size(errors) > 0, None).when(F.col("_tasks"), "mixed_tasks").when(F.col("_shapes"), "mixed_shapes")
+    whole = (F.size(errors) == 0) & problem.isNull()
+    return got.select(batch, F.size("_s").alias("n"), errors.alias("errors"), *[F.when(whole, F.col(f"_s._v{i}")).alias(f) for i, f in enumerate(fields)], problem.alias("problem"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sluice.plans import arrays, checks, extended, fields, files, identity, joins, latents, manifest, ordered, positions, profile, records, sampling, sequences, states, streams, temporal, text
+from sluice.plans import arrays, checks, extended, external, fields, files, identity, joins, latents, manifest, ordered, positions, profile, records, sampling, sequences, states, streams, temporal, text
 from sluice.plans.catalog import ORACLE_SQL, QUERIES
 
-MODULES = (arrays, checks, extended, fields, files, identity, joins, latents, manifest, ordered, positions, profile, records, sampling, sequences, states, streams, temporal, text)
+MODULES = (arrays, checks, extended, external, fields, files, identity, joins, latents, manifest, ordered, positions, profile, records, sampling, sequences, states, streams, temporal, text)
 
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]

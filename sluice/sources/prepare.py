@@ -63,3 +63,18 @@ def prepare_r2v(rows: DataFrame, headers: DataFrame, seed: str = "0") -> DataFra
     )
     made = made.withColumn("sample_key", content_key(made, *IDENTITY))
     return made.withColumn("sample_plan_sha256", content_key(made, *PLAN)).select(*PLAN, "sample_plan_sha256", "reason")
+
+
+def finalize(prepared: DataFrame, readable: DataFrame, reason: str = "missing_reference") -> DataFrame:
+    """The second stage: rows that stood all other checks lose to ``reason`` if one of their references is not among ``readable``
+    (path, ok), or not ok there. Only references of rows without a reason are looked up.
+
+    The lookup is by distinct (sample_key, path): a key names its references, so repeated rows are looked up once. A row without
+    references is rejected, too; a null reference is never readable."""
+    wanted = prepared.where("reason is null").groupBy("sample_key").agg(F.first("reference_paths").alias("_refs"))
+    each = wanted.select("sample_key", F.explode_outer(F.array_distinct("_refs")).alias("path"))
+    good = readable.groupBy("path").agg(F.bool_or("ok").alias("_ok"))
+    bad = each.join(good, "path", "left").where(~F.coalesce("_ok", F.lit(False))).select("sample_key").distinct().withColumn("_bad", F.lit(True))
+    out = prepared.join(bad, "sample_key", "left")
+    late = F.when(F.col("reason").isNull() & F.coalesce("_bad", F.lit(False)), F.lit(reason))
+    return out.withColumn("reason", F.coalesce("reason", late)).select(*prepared.columns)
