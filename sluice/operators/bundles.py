@@ -86,7 +86,8 @@ def write_bundle(samples: DataFrame, root: str, order: list[str], overwrite: boo
 
 
 def read_selected(spark: SparkSession, path: str, schema=None, tasks: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
-    """Samples of a list of JSON lines in its order, with ``line_number``: those of ``tasks``, the first ``limit`` of them.
+    """Samples of a list of JSON lines: those of ``tasks``, the first ``limit`` of them. ``line_number`` gives their order; rows only come
+    sorted under a limit.
 
     References are the exported ones if there are any, else ``reference_paths``; relative ones lie below the list's folder. What the
     list itself says stays in ``original_reference_paths``. Blank lines are left out; a line of another task than the known ones is an
