@@ -33,9 +33,14 @@ def prepare_r2v(rows: DataFrame, headers: DataFrame, seed: str = "0") -> DataFra
     free = F.col("_latest") - start + 1
     wanted = (start + F.floor(unit(seed, "source_record_id", "target_path") * free)).cast("int")
     starts = F.when(good_header & (free > 0), candidate_starts(wanted, start.cast("int"), F.col("_latest")))
-    plans = F.transform(starts, lambda s: F.struct(s.alias("start"), resample_plan(s, F.col("fps"), FPS, FRAMES).alias("plan")))
-    fits = lambda p: (F.size(F.array_distinct(p.plan)) == FRAMES) & (F.element_at(p.plan, -1) < end)
-    met = met.withColumn("_plans", plans).withColumn("_plan", F.get(F.filter("_plans", fits), 0))
+    # at the target's rate or above no frame comes twice, so only slower sources need whole plans to tell
+    slow = F.col("fps") < FPS
+    unique = lambda s: F.size(F.array_distinct(resample_plan(s, F.col("fps"), FPS, FRAMES))) == FRAMES
+    met = met.withColumn("_starts", starts)
+    met = met.withColumn("_unique", F.when(slow, F.filter("_starts", unique)).otherwise(F.col("_starts")))
+    last = lambda s: F.rint(s + (FRAMES - 1) * F.col("fps") / F.lit(FPS))
+    met = met.withColumn("_start", F.get(F.filter("_unique", lambda s: last(s) < end), 0))
+    met = met.withColumn("_plan", F.when(F.col("_start").isNotNull(), resample_plan(F.col("_start"), F.col("fps"), FPS, FRAMES)))
     crop = F.col("crop_xyxy")
     bad_crop = F.coalesce(crop_problem(crop, F.col("width"), F.col("height")), F.lit(False))
     reason = first_reason(
@@ -45,12 +50,12 @@ def prepare_r2v(rows: DataFrame, headers: DataFrame, seed: str = "0") -> DataFra
             ("invalid_clip", ~((start >= 0) & (start < end) & (end <= F.col("frame_count")))),
             ("invalid_crop", bad_crop),
             ("reference_count_out_of_range", ~F.coalesce(F.size("reference_paths").between(1, 4), F.lit(False))),
-            ("source_fps_too_low_for_unique_sampling", (F.col("fps") < FPS) & F.forall("_plans", lambda p: F.size(F.array_distinct(p.plan)) < FRAMES)),
-            ("insufficient_frames", F.col("_plan").isNull()),
+            ("source_fps_too_low_for_unique_sampling", slow & (F.size("_unique") == 0)),
+            ("insufficient_frames", F.col("_start").isNull()),
         ]
     )
     met = met.withColumn("reason", F.coalesce("reason", reason)).withColumn("task", F.lit("r2v"))
-    frames, anchors = F.col("_plan.plan"), uniform_indices(F.lit(FRAMES), ANCHORS)
+    frames, anchors = F.col("_plan"), uniform_indices(F.lit(FRAMES), ANCHORS)
     made = met.withColumns(
         {
             "target_source_frame_indices": frames,
