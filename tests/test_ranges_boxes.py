@@ -89,3 +89,15 @@ def test_a_crowded_cell_is_dealt_over_parts(spark):
     assert parts.count() == 60_000 and parts.select("i", "j").distinct().count() == 60_000
     plan = parts._jdf.queryExecution().executedPlan().toString()
     assert "_part" in plan
+
+
+def test_few_small_rows_with_many_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    """Adaptive execution would put a few kilobytes into one task, however many pairs they make."""
+    monkeypatch.setattr(joins, "PAIRS", 1 << 14)
+    x = spark.range(2000).select(F.col("id").alias("i"), (F.col("id") % 400).alias("s"), (F.col("id") % 400 + 3).alias("e"))
+    y = spark.range(3000).select(F.col("id").alias("j"), (F.col("id") % 400).alias("t"), (F.col("id") % 400 + 2).alias("f"))
+    got = joins.interval_overlap(x, y, ("s", "e"), ("t", "f"), 5)
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    want = sum(5 * (7 + (t < 200)) for s in range(400) for t in range(400) if s < t + 2 and t < s + 3)
+    assert sum(r["count"] for r in tasks) == want
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < want / 2
