@@ -107,10 +107,11 @@ HIGH, LOW = 3.0902, -2.5758
 
 def logit_normal_draw(u: Column, other: Column, which: Column, mu: Column, std: float = 1.0, eps: float = 1e-3, uniform_share: float = 0.1) -> Column:
     """A draw of a shifted logit-normal distribution from a share u: stretched so that its quantiles LOW and HIGH become 0 and 1, reflected
-    at eps, cut to 0..1, and replaced by the uniform draw ``other`` where ``which`` is at most ``uniform_share``."""
+    at eps, cut to 0..1, and replaced by the uniform draw ``other`` where ``which`` is at most ``uniform_share``. For a ``mu`` so large that
+    both quantiles lie at one double (from about 39 with std 1) the stretched draw is 1."""
     sigmoid = lambda x: 1 / (1 + F.exp(-x))
     low, high = sigmoid(mu + LOW * std), sigmoid(mu + HIGH * std)
-    raw = (sigmoid(normal_quantile(u) * std + mu) - low) / (high - low)
+    raw = F.when(high == low, 1.0).otherwise((sigmoid(normal_quantile(u) * std + mu) - low) / (high - low))
     kept = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(raw >= eps, raw).otherwise(2 * eps - raw)))
     return F.when(which > uniform_share, kept).otherwise((1 - eps) * other + eps)
 

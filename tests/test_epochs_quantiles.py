@@ -106,6 +106,21 @@ def test_draws_have_their_moments(spark):
     assert got[3] == pytest.approx(0.5005, abs=0.005) and got[4] == pytest.approx(0.9 * mean + 0.05005, abs=0.01)
 
 
+def test_draws_of_very_long_texts(spark, tmp_path):
+    """Both quantiles of the stretch are 1.0 as doubles there; the SQL's quotient is not a number, and its draw is cut to 1."""
+    import duckdb
+
+    from sluice import registry
+
+    sizes = [0, 40_000, 100_000, 107_000, 110_000, 122_698, 1_000_000, None]
+    spark.createDataFrame([(i, sizes[i % len(sizes)]) for i in range(80)], "doc_id long, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = registry.ORACLE_SQL["logit_normal_draws"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r.doc_id: (r.u, r.timestep) for r in registry.QUERIES["logit_normal_draws"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert sum(got[i][1] == 1.0 for i in range(80) if sizes[i % len(sizes)] == 1_000_000) >= 8
+
+
 def test_linear_quadratic_of_one_step(spark):
     from sluice.operators.latents import linear_quadratic
 
