@@ -101,3 +101,14 @@ def test_few_small_rows_with_many_pairs_are_dealt_over_tasks(spark, monkeypatch)
     want = sum(5 * (7 + (t < 200)) for s in range(400) for t in range(400) if s < t + 2 and t < s + 3)
     assert sum(r["count"] for r in tasks) == want
     assert len(tasks) > 4 and max(r["count"] for r in tasks) < want / 2
+
+
+def test_the_interval_query_lists_every_pair(spark, sf):
+    from sluice import registry
+
+    got = registry.QUERIES["interval_overlap_join"](spark, sf)
+    assert got.columns == ["a_key", "b_key"]
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", F.unix_date(F.col("o_orderdate").cast("date")).alias("day")).collect()
+    span = lambda r: (r.o_orderkey, r.day, r.day + 1 + r.o_orderkey % 5)
+    a, b = [span(r) for r in rows if r.o_orderstatus == "P"], [span(r) for r in rows if r.o_orderstatus != "P"]
+    assert sorted(map(tuple, got.collect())) == sorted((p[0], q[0]) for p in a for q in b if p[1] < q[2] and q[1] < p[2])
