@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -40,6 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def dealt(df: DataFrame, of: DataFrame | None = None, rows: int = 1 << 13) -> DataFrame:
+    """``df`` dealt over a task per ``rows`` rows (of ``of``, if counting that is cheaper), 4,096 at most. For work that is heavy per
+    row: small files, and shuffles that adaptive execution puts together by bytes, make too few tasks for it."""
+    return df.repartition(min(max(1, math.ceil((df if of is None else of).count() / rows)), 4096))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/sluice/{name}-{uuid.uuid4().hex}"
