@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.session import dealt
+
 #: A frame has a grid of evidence cells and one of half its side of queries.
 EVIDENCE_SIDE, QUERY_SIDE = 16, 8
 
@@ -40,6 +42,12 @@ def intersection(a: Column, b: Column) -> Column:
     return merged(pairs)
 
 
+def behind_prefix(m: Column, start: Column, end: Column, *rest: Column) -> Column:
+    """The merged list of [0, m), [start, end) and ``rest``, where start >= m and ``rest`` is in order, not empty and touches nothing."""
+    touching = F.array(span(F.lit(0), end), *rest)
+    return F.when(start <= m, touching).when(m > 0, F.array(span(F.lit(0), m), span(start, end), *rest)).otherwise(F.array(span(start, end), *rest))
+
+
 def visible(ranges: Column) -> Column:
     """How many keys a list holds."""
     return F.aggregate(ranges, F.lit(0).cast("long"), lambda n, r: n + r.end - r.start)
@@ -76,20 +84,22 @@ def teacher_ranges(tokens: DataFrame, frames: DataFrame, batch: str, pos: str, v
     """(batch, part, n, ranges) of a prefix and the frames behind it. frames: batch, frames.
 
     Prefix tokens see as in ``prefix_ranges``. Frame f has evidence cells, then queries. Evidence sees the prefix and its frame's
-    evidence; a query sees the prefix, the 2 x 2 evidence cells under it, and itself."""
+    evidence; a query sees the prefix, the 2 x 2 evidence cells under it, and itself. Batches are dealt over tasks by their number, as each
+makes hundreds of rows a frame."""
     prefix = prefix_ranges(tokens, batch, pos, valid, image)
     length = tokens.where(F.col(valid)).groupBy(batch).agg(F.count(F.lit(1)).alias("m"))
     cells, queries = EVIDENCE_SIDE**2, QUERY_SIDE**2
     sized = frames.join(length, batch, "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    every = sized.withColumn("f", F.explode(F.sequence(F.lit(0), F.col("frames") - 1))).where("frames > 0")
+    every = dealt(sized, frames, 256).withColumn("f", F.explode(F.sequence(F.lit(0), F.col("frames") - 1))).where("frames > 0")
     every = every.withColumn("base", F.col("m") + F.col("f") * (cells + queries)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cells + queries - 1))))
     q = F.col("i") - cells
     top = F.col("base") + F.floor(q / QUERY_SIDE) * 2 * EVIDENCE_SIDE + (q % QUERY_SIDE) * 2
     own = F.col("base") + F.col("i")
-    seen = F.when(F.col("i") < cells, F.array(span(F.lit(0), F.col("m")), span(F.col("base"), F.col("base") + cells))).otherwise(
-        F.array(span(F.lit(0), F.col("m")), span(top, top + 2), span(top + EVIDENCE_SIDE, top + EVIDENCE_SIDE + 2), span(own, own + 1))
+    m = F.col("m")
+    seen = F.when(F.col("i") < cells, behind_prefix(m, F.col("base"), F.col("base") + cells)).otherwise(
+        behind_prefix(m, top, top + 2, span(top + EVIDENCE_SIDE, top + EVIDENCE_SIDE + 2), span(own, own + 1))
     )
-    behind = every.select(batch, F.when(F.col("i") < cells, "evidence").otherwise("query").alias("part"), own.cast("long").alias("n"), merged(seen).alias("ranges"))
+    behind = every.select(batch, F.when(F.col("i") < cells, "evidence").otherwise("query").alias("part"), own.cast("long").alias("n"), seen.alias("ranges"))
     return prefix.select(batch, F.lit("prefix").alias("part"), F.col("n").cast("long").alias("n"), "ranges").unionByName(behind)
 
 
