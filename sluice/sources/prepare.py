@@ -10,6 +10,7 @@ from sluice.operators.reject import crop_problem, first_reason
 from sluice.operators.sampling import unit
 from sluice.operators.temporal import candidate_starts, resample_plan, uniform_indices
 from sluice.operators.validate import ANCHORS, FPS, FRAMES, HEIGHT, WIDTH
+from sluice.session import dealt
 
 #: What a record's key and its plan's hash are made of.
 IDENTITY = ("task", "target_path", "reference_paths", "caption", "clip_start_frame", "clip_end_frame")
@@ -22,8 +23,8 @@ def prepare_r2v(rows: DataFrame, headers: DataFrame, seed: str = "0") -> DataFra
     headers: path, fps, frame_count, width, height; a video without a header, or with an incomplete one, is rejected. A
     missing clip is the whole video. The plan has FRAMES frames at FPS: it begins at a seeded place of the clip, or, if that does not
     work out after rounding, at the first candidate near it, near the clip's start or near its last possible start. Rows are joined
-    with headers by path; nothing else moves."""
-    met = rows.join(headers.withColumnRenamed("path", "target_path"), "target_path", "left")
+    with headers by path and dealt over tasks by their number: plans and hashes are heavy per row, and few videos may have all rows."""
+    met = dealt(rows.join(headers.withColumnRenamed("path", "target_path"), "target_path", "left"), rows)
     good_header = F.coalesce((F.col("fps") > 0) & (F.col("fps") < float("inf")) & (F.col("frame_count") > 0) & (F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
     met = met.withColumn("clip_start_frame", F.coalesce("clip_start_frame", F.lit(0))).withColumn("clip_end_frame", F.coalesce("clip_end_frame", F.col("frame_count").cast("long")))
     start, end = F.col("clip_start_frame"), F.col("clip_end_frame")
