@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.plans.catalog import Tables, query
-from sluice.streaming.state import collisions, consumed_sets, first_by_position, firsts, progress, run_in_stages
+from sluice.streaming.state import collisions, consumed_sets, first_by_position, firsts, progress, run_in_stages, stage_count
 
 STAGES = 3
 
 
 def _in_order(t: Tables) -> list[DataFrame]:
-    """The events as ranges of their ids, oldest first."""
-    cuts = t.events.agg(F.percentile_approx("event_id", [(i + 1) / STAGES for i in range(STAGES - 1)]).alias("c")).first().c
+    """The events as ranges of their ids, oldest first; each has a bounded number of rows."""
+    n = stage_count(t.events.count(), STAGES)
+    cuts = t.events.agg(F.percentile_approx("event_id", [(i + 1) / n for i in range(n - 1)]).alias("c")).first().c
     edges = [None, *(cuts or []), None]
     stages = []
     for low, high in zip(edges, edges[1:]):
