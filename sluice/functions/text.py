@@ -117,9 +117,13 @@ def output_path(path: Column, root: str, out: str, suffix: str) -> Column:
     return F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace(rel, r"\.[^./]*$", ""), F.lit(suffix))
 
 
+#: All characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(s: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Without white space of any kind at both ends. Only the ends are looked at: a pattern would be tried at every character."""
+    return F.btrim(s, F.lit(WHITE))
 
 
 def stem_of_name(name: Column) -> Column:

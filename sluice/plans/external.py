@@ -84,7 +84,7 @@ def normalized_manifest_check(t: Tables) -> DataFrame:
     changed = {"caption": (0, F.lit("\t")), "width": (1, F.lit(833)), "sample_key": (2, F.lit("x")), "output_id": (3, F.lit("other")), "task": (4, F.lit("i2i")), "original_reference_paths": (5, F.slice("original_reference_paths", 2, 4))}
     rows = _normalized(t).where("problem is null").withColumn("_k", k)
     rows = rows.withColumns({c: F.when(kind == n, v).otherwise(F.col(c)) for c, (n, v) in changed.items()})
-    ordered = kept(rows, "records").repartitionByRange("_k").sortWithinPartitions("_k").drop("source_index", "problem", "_k")
+    ordered = rows.repartitionByRange("_k").sortWithinPartitions("_k").drop("source_index", "problem", "_k")
     ordered.select(F.to_json(F.struct(*ordered.columns)).alias("value")).write.text(path)
     return E.check_normalized(t.spark, path).select("line_number", "source_record_id", "problem")
 

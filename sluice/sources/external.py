@@ -75,13 +75,13 @@ def normalize_external(rows: DataFrame, dataset: str, source_json: str) -> DataF
 
     Checks in order: the record is an object; its id (or plain file name); its caption; its references (a list of one to four, not
     empty, absolute where they must be); a safe output id. Null fields count as missing. A rejected row keeps its source_index and
-    whatever id could be read; its other columns are null. Records are dealt over tasks by their number and kept, as are their normalised
-rows: filters on ``problem`` would repeat all of its checks."""
+    whatever id could be read; its other columns are null. Records are dealt over tasks by their number, and their normalised rows are
+    kept: filters on ``problem`` would repeat all of its checks."""
     layout = LAYOUTS[dataset]
     folder = posixpath.dirname(source_json)
     text = lambda name: stripped(F.coalesce(F.try_element_at("_r", F.lit(name)), F.lit("")))
     parsed = F.when(F.ltrim("raw").startswith("{"), F.from_json("raw", "map<string,string>"))
-    r = kept(dealt(rows), "raw").withColumn("_r", parsed)
+    r = dealt(rows).withColumn("_r", parsed)
     r = r.withColumn("_name", text(layout.id) if layout.id else stripped(F.col("source_index")))
     r = r.withColumns({"_id": stem_of_name(F.col("_name")) if layout.named_by_file else F.col("_name"), "_caption": text(layout.caption), "_list": F.try_element_at("_r", F.lit(layout.references))})
     refs = F.when(F.ltrim("_list").startswith("["), F.from_json("_list", "array<string>"))
