@@ -34,12 +34,13 @@ def prepare_r2v(rows: DataFrame, headers: DataFrame, seed: str = "0") -> DataFra
     free = F.col("_latest") - start + 1
     wanted = (start + F.floor(unit(seed, "source_record_id", "target_path") * free)).cast("int")
     starts = F.when(good_header & (free > 0), candidate_starts(wanted, start.cast("int"), F.col("_latest")))
-    # at the target's rate or above no frame comes twice, so only slower sources need whole plans to tell
+    # at the target's rate or above no frame comes twice; of slower sources only starts whose first and last frame lie far enough
+    # apart for as many frames need whole plans to tell
     slow = F.col("fps") < FPS
-    unique = lambda s: F.size(F.array_distinct(resample_plan(s, F.col("fps"), FPS, FRAMES))) == FRAMES
+    last = lambda s: F.rint(s + (FRAMES - 1) * F.col("fps") / F.lit(FPS))
+    unique = lambda s: (last(s) - s >= FRAMES - 1) & (F.size(F.array_distinct(resample_plan(s, F.col("fps"), FPS, FRAMES))) == FRAMES)
     met = met.withColumn("_starts", starts)
     met = met.withColumn("_unique", F.when(slow, F.filter("_starts", unique)).otherwise(F.col("_starts")))
-    last = lambda s: F.rint(s + (FRAMES - 1) * F.col("fps") / F.lit(FPS))
     met = met.withColumn("_start", F.get(F.filter("_unique", lambda s: last(s) < end), 0))
     met = met.withColumn("_plan", F.when(F.col("_start").isNotNull(), resample_plan(F.col("_start"), F.col("fps"), FPS, FRAMES)))
     crop = F.col("crop_xyxy")
